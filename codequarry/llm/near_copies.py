@@ -39,6 +39,7 @@ SAMPLES = BANDS * ROWS
 
 _rng = np.random.default_rng(20260102)
 _WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+WORD_WITHOUT_UNDERSCORE = _WORD & (np.arange(256) != 95)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = np.uint64(int(_rng.integers(2**62, 2**63)) | 1)
@@ -50,8 +51,8 @@ def _wide_words(match) -> str:
     return "".join(c if c.isalnum() else " " for c in match[0].lower())
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of every text, and the row of each."""
+def word_hashes(texts: pa.Array, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of every text, and the row of each. `word`: the bytes that words are made of."""
     flat, offsets = utf8_buffer(texts)
     if flat.size and flat.max() >= 128:
         flat, offsets = utf8_buffer(pa.array([t if not t or t.isascii() else _NON_ASCII.sub(_wide_words, t) for t in texts.to_pylist()], pa.large_string()))
@@ -61,7 +62,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not part.size:
             continue
         cut_at = offsets[start + 1 : end] - offsets[start]
-        inside = _WORD[part]
+        inside = word[part]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         cut_at = cut_at[cut_at < part.size]

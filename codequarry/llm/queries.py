@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import layout_copies, near_copies
+from codequarry.llm import layout_copies, leaks, near_copies
 from codequarry.session import table
 
 
@@ -26,12 +26,22 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(table(spark, sf_dir, "code_chunks"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
         "p3_copy_counts": p3_copy_counts,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p8_found": p8_found,
+        "p8_report": p8_report,
     }
 
 
