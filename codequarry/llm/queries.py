@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import layout_copies, leaks, near_copies
+from codequarry.llm import encoding, layout_copies, leaks, near_copies
 from codequarry.session import table
 
 
@@ -34,6 +34,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repaired_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
@@ -42,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_groups": p5_groups,
         "p8_found": p8_found,
         "p8_report": p8_report,
+        "p9_found": p9_found,
+        "p9_repaired": p9_repaired,
     }
 
 
