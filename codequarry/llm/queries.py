@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import encoding, layout_copies, leaks, near_copies
+from codequarry.llm import encoding, layout_copies, leaks, near_copies, syntax
 from codequarry.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "source_files"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.layout_copies(table(spark, sf_dir, "code_chunks"))
 
@@ -44,6 +52,8 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_rates": p1_rates,
         "p3_found": p3_found,
         "p3_copy_counts": p3_copy_counts,
         "p5_found": p5_found,
