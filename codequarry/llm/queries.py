@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import encoding, layout_copies, leaks, near_copies, syntax
+from codequarry.llm import documented, encoding, layout_copies, leaks, near_copies, syntax
 from codequarry.session import table
 
 
@@ -26,6 +26,14 @@ def p3_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.copy_counts(table(spark, sf_dir, "code_chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.described_names(table(spark, sf_dir, "source_files"))
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.documented_functions(table(spark, sf_dir, "source_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_pairs(table(spark, sf_dir, "code_chunks"))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_rates": p1_rates,
         "p3_found": p3_found,
         "p3_copy_counts": p3_copy_counts,
+        "p4_found": p4_found,
+        "p4_pairs": p4_pairs,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p8_found": p8_found,
