@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import documented, encoding, layout_copies, leaks, near_copies, syntax
+from codequarry.llm import documented, encoding, layout_copies, leaks, near_copies, provenance, syntax
 from codequarry.session import table
 
 
@@ -18,6 +18,14 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, sf_dir, "source_files"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.foreign_files(table(spark, sf_dir, "source_files"))
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.reasons_by_repo(table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.layout_copies(table(spark, sf_dir, "code_chunks"))
 
@@ -62,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_rates": p1_rates,
+        "p2_found": p2_found,
+        "p2_reasons": p2_reasons,
         "p3_found": p3_found,
         "p3_copy_counts": p3_copy_counts,
         "p4_found": p4_found,
