@@ -21,6 +21,7 @@ import base64
 import binascii
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -36,8 +37,8 @@ _FALLBACK = r"(?:(?:[\w.]*\b(?:environ\.get|getenv|getOrDefault|getProperty|get)
 _TYPE = r"(?:\s*:\s*[A-Za-z_][\w.<>\[\]| ]*?(?=\s*=))?"
 _NAMED = re.compile(rf"(?P<key>[A-Za-z_$][\w$.-]*)[\"'`\]]*{_TYPE}[ \t]*(?:(?P<op>:=|=>|=(?!=)|:(?!:|//))|(?P<comma>,))\s*\(?{_FALLBACK}?(?P<value>{_PIECES})")
 _BARE = re.compile(r"(?:(?P<dash>--)(?P<option>[A-Za-z][\w-]*)(?:=|[ \t]+)|(?P<key>[A-Za-z_$][\w$.-]*)[\"']?[ \t]*[=:][ \t]*)(?=(?P<value>[^\s\"'`<>\[\]{}(),=][^\s\"'`]*))")
-_CALL = re.compile(rf"(?P<key>[A-Za-z_$][\w$]*)\(\s*(?P<value>{_PIECES})")
-_COMMENT = re.compile(r"^\s*(?://|#|\*|--|/\*|;)")
+_CALL = re.compile(rf"(?P<key>[A-Za-z_$][\w$.]*)\(\s*(?P<value>{_PIECES})")
+_COMMENT = re.compile(r"\s*(?://|#|\*|--|/\*|;)")
 
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SECRET_WORDS = frozenset("password passwd pwd passphrase secret token jwt apikey credential credentials authtoken accesskey secretkey passwort".split())
@@ -121,7 +122,18 @@ def _plausible(value: str, kind: str) -> bool:
 
 
 # --- encoded layers ---------------------------------------------------------------------------------------------------
-_ENCODED = re.compile(r"(?P<escaped>(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-7]{3}){6,})|(?P<percent>(?:[\w.~/+:-]*%[0-9A-Fa-f]{2}){4,}[\w.~/+:-]*)|(?P<hex>(?<![\w/+])(?:[0-9a-fA-F]{2}){12,}(?![\w/+]))|(?P<base64>(?<![\w/+])[A-Za-z0-9+/_-]{16,}={0,2}(?![\w/+]))")
+_ENCODED = re.compile(r"(?P<hex>(?<![\w/+])(?:[0-9a-fA-F]{2}){12,}(?![\w/+]))|(?P<base64>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![\w/+]))")
+_ESCAPED = re.compile(r"(?P<escaped>(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-7]{3}){6,})")
+_PERCENT = re.compile(r"(?P<percent>[\w.~/+:-]*(?:%[0-9A-Fa-f]{2}[\w.~/+:-]*){4,})")
+
+
+def encoded_tokens(text: str) -> Iterator[re.Match]:
+    """Tokens that may be an encoded layer."""
+    yield from _ENCODED.finditer(text)
+    if "\\" in text:
+        yield from _ESCAPED.finditer(text)
+    if "%" in text:
+        yield from _PERCENT.finditer(text)
 
 
 def _der(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
@@ -186,7 +198,7 @@ def decoded(kind: str, text: str) -> bytes | None:
 
 def _inner(text: str, named: str | None, depth: int) -> str | None:
     """The kind of credential inside an encoded text, if any; `named`: the kind its setting's name promises."""
-    for m in _ENCODED.finditer(text):
+    for m in encoded_tokens(text):
         data = decoded(m.lastgroup, m[0])
         if not data or len(data) < 6:
             continue
@@ -204,7 +216,11 @@ def _inner(text: str, named: str | None, depth: int) -> str | None:
 
 
 # --- the scan -----------------------------------------------------------------------------------------------------------
-_TRIGGER = re.compile(r"(?i)pass(?:w|phrase|\b|[\"'_ ]*[=:(])|pwd|secret|token|_?key|auth|bearer|basic |jwt|credential|dsn|://|private key|[a-z]Pass\b|sk_|gh[oprsu]_|xox|akia|eyJ|identified by|login")
+_TRIGGER = re.compile(
+    r"(?i:passw|passphrase|pwd|secret|token|apikey|accesskey|bearer|basic |credential|identified by)|(?:[kK]ey|KEY|[aA]uth|AUTH|[dD]sn|DSN|[jJ]wt|JWT|Pass|\bpass|_pass|PASS)(?![a-z])|[aA]uthorization|://|sk_|gh[oprsu]_|xox|AKIA|ASIA|eyJ"
+)
+# one of these stands, in lower case, in every text with a trigger or a token format
+_QUICK = ("passw", "passphrase", "pwd", "secret", "token", "key", "bearer", "basic ", "credential", "identified by", "auth", "dsn", "jwt", "pass=", "pass:", "pass =", "pass\"", "_pass", "://", "sk_", "pk_", "rk_", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat", "glpat", "npm_", "xox", "akia", "asia", "agpa", "aida", "aroa", "aiza", "sg.", "eyj", "hf_", "dop_v1", "sk-", "adminpass")
 
 Found = tuple[int, list[tuple[int, int]], str, int]
 
@@ -223,33 +239,33 @@ def scan(text: str, settings: bool = False, depth: int = 0) -> list[Found]:
             body = re.sub(r"\\n|[\s\"'+\\]", "", m["body"])
             if len(body) >= 40 and not _masked(body[:60]) and not _REFERENCE.match(m["body"].strip()):
                 add(m.start(), [m.span("body")], "private key")
-    triggered = bool(_TRIGGER.search(text))
-    if triggered:
+    low = text.lower()
+    if any(w in low for w in _QUICK):
         for m in _FORMATS.finditer(text):
             if not _masked(m["token"].split("_")[-1]):
                 add(m.start("token"), [m.span("token")], "token")
-        for m in _CONNECTION.finditer(text):
+        for m in _CONNECTION.finditer(text) if "://" in text else ():
             if not no_credential(m["token"] if len(m["token"]) >= 6 else m["token"] + "-" * 6) and not m["token"].startswith(("$", "{", "<", "%")):
                 add(m.start(), [m.span("token")], "connection")
-        for m in _HOOK.finditer(text):
+        for m in _HOOK.finditer(text) if "https://" in text else ():
             name = "token" if m["token"] else "other" if m["other"] else "third"
             if not _masked(m[name].rsplit("/", 1)[-1]):
                 add(m.start(), [m.span(name)], "hook")
-        for m in _BEARER.finditer(text):
+        for m in _BEARER.finditer(text) if "earer" in text or "asic" in text or "Token " in text else ():
             if not no_credential(m["token"]) and (re.search(r"\d", m["token"]) or len(set(m["token"])) > 12):
                 add(m.start(), [m.span("token")], "authorization")
-        for m in _SQL_PASSWORD.finditer(text):
+        for m in _SQL_PASSWORD.finditer(text) if "passw" in low or "identified" in low else ():
             if _plausible(m["token"], "password"):
                 add(m.start("token"), [m.span("token")], "password")
-        for m in _USER_OPTION.finditer(text):
+        for m in _USER_OPTION.finditer(text) if "curl" in text else ():
             if _plausible(m["token"], "password"):
                 add(m.start("token"), [m.span("token")], "password")
-        for m in _INSERT.finditer(text):
+        for m in _INSERT.finditer(text) if "insert" in low else ():
             _inserted(text, m, add)
         _named(text, settings, add, depth)
     # encoded layers that no setting's name gives away
     if depth < DEPTH:
-        for m in _ENCODED.finditer(text):
+        for m in encoded_tokens(text):
             if text[max(0, m.start() - 8) : m.start()].endswith("base64,") or any(s <= m.start() < e for f in found for s, e in f[1]):
                 continue
             data = decoded(m.lastgroup, m[0])
@@ -289,43 +305,44 @@ def _inserted(text: str, m: re.Match, add) -> None:
             add(v.start(), [(v.start() + 1, v.end() - 1)], kinds[place])
 
 
+_KEY_NAME = re.compile(r"[A-Za-z_$][\w$.-]*")
+_key_kind = lru_cache(200_000)(key_kind)
+
+
 def _named(text: str, settings: bool, add, depth: int) -> None:
     """Values given to settings, variables, fields and calls that are named like credentials."""
-    done: set[int] = set()
+    upto = -1
     for t in _TRIGGER.finditer(text):
-        begin = text.rfind("\n", 0, t.start()) + 1
-        if begin in done:
+        if t.start() < upto:
             continue
-        done.add(begin)
+        begin = max(text.rfind("\n", 0, t.start()) + 1, t.start() - 300, upto)
         end = text.find("\n", t.start())
-        end = len(text) if end < 0 else end
-        if end - begin > 20_000 and not settings:
-            end = min(end, t.start() + 20_000)  # one line of a bundle; each trigger opens its own window
-            done.discard(begin)
-            begin = max(begin, t.start() - 200)
-        for pattern in (_NAMED, _CALL):
-            for m in pattern.finditer(text, begin):
-                if m.start() >= end:
-                    break
-                kind = key_kind(m["key"])
-                if pattern is _NAMED and m["comma"] and text[m.end("key") : m.end("key") + 1] not in ("\"", "'", "`"):
-                    continue
-                if not kind:
-                    continue
-                value, spans = _joined(m["value"])
-                at = m.start("value")
-                spans = [(at + s, at + e) for s, e in spans]
-                if not spans:
-                    continue
-                if _plausible(value, kind):
-                    add(at, spans, kind)
-                elif depth < DEPTH and not no_credential(value) and (inner := _inner(value, kind, depth)):
-                    add(at, spans, inner, 1)
-        line = text[begin:end]
-        if settings or "--" in line or _COMMENT.match(line):
+        # a long line is read from trigger to trigger, not as a whole
+        end = upto = min(len(text) if end < 0 else end, t.start() + 300)
+        for k in _KEY_NAME.finditer(text, begin, end):
+            kind = _key_kind(k[0])
+            if not kind:
+                continue
+            m = _NAMED.match(text, k.start()) or _CALL.match(text, k.start())
+            if not m or (m.re is _NAMED and m["comma"] and not (k.start() and text[k.start() - 1] == text[k.end()] and text[k.end()] in "\"'`")):
+                continue
+            if m.re is _CALL and not (kind := _key_kind(k[0].rsplit(".", 1)[-1])):
+                continue
+            value, spans = _joined(m["value"])
+            at = m.start("value")
+            spans = [(at + s, at + e) for s, e in spans]
+            if not spans:
+                continue
+            if _plausible(value, kind):
+                add(at, spans, kind)
+            elif depth < DEPTH and not no_credential(value) and (inner := _inner(value, kind, depth)):
+                add(at, spans, inner, 1)
+        line_start = text.rfind("\n", 0, begin) + 1 if begin and text[begin - 1] != "\n" else begin
+        comment = bool(_COMMENT.match(text, line_start))
+        if settings or comment or "--" in text[begin:end]:
             for m in _BARE.finditer(text, begin, end):
-                kind = key_kind(m["option"] or m["key"])
-                if not kind or not (settings or m["dash"] or _COMMENT.match(line)):
+                kind = _key_kind(m["option"] or m["key"])
+                if not kind or not (settings or m["dash"] or comment):
                     continue
                 value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m["value"])
                 if _plausible(value, kind) and "(" not in value:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import documented, encoding, layout_copies, leaks, near_copies, provenance, syntax
+from codequarry.llm import credentials, documented, encoding, layout_copies, leaks, near_copies, provenance, syntax
 from codequarry.session import table
 
 
@@ -50,6 +50,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(table(spark, sf_dir, "code_chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, sf_dir, "code_chunks"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted_chunks(table(spark, sf_dir, "code_chunks"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -78,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_pairs": p4_pairs,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_found": p6_found,
+        "p6_redacted": p6_redacted,
         "p8_found": p8_found,
         "p8_report": p8_report,
         "p9_found": p9_found,
