@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import credentials, documented, encoding, layout_copies, leaks, near_copies, provenance, syntax
+from codequarry.llm import credentials, documented, encoding, layout_copies, leaks, near_copies, packing, provenance, syntax
 from codequarry.session import table
 
 
@@ -58,6 +58,14 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redacted_chunks(table(spark, sf_dir, "code_chunks"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -88,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_redacted": p6_redacted,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_report": p8_report,
         "p9_found": p9_found,
