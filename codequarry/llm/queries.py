@@ -105,5 +105,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_RUNS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w WHERE len(w) >= 12),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+h AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM v WHERE len(w) >= 12),
+found AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of these operators SQL expresses the leaks; the others are tested against brute force."""
+    return {
+        "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM found",
+        "p8_report": f"WITH {_RUNS} SELECT item_id, any_value(item_set) AS item_set, count(DISTINCT doc_id) AS documents FROM found JOIN eval_items USING (item_id) GROUP BY item_id",
+    }
