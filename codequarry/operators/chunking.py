@@ -69,9 +69,12 @@ def chunk_rows(symbol: Symbol, max_tokens: int, overlap_tokens: int) -> list[tup
     return [(name, first, last, text) for name, (text, first, last) in zip(named, parts, strict=True)]
 
 
-_CHUNKED = T.StructType.fromDDL(
-    "repo string, path string, language string, symbol_type string, symbol_name string, signature string, start_line int, end_line int, text string, package string, imports array<string>, calls array<string>, error string"
-)
+_TEXT, _INT, _LIST = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+_KINDS = {
+    "repo": _TEXT, "path": _TEXT, "language": _TEXT, "symbol_type": _TEXT, "symbol_name": _TEXT, "signature": _TEXT, "start_line": _INT, "end_line": _INT,
+    "text": _TEXT, "package": _TEXT, "imports": _LIST, "calls": _LIST, "error": _TEXT,
+}
+_CHUNKED = T.StructType([T.StructField(name, kind) for name, kind in _KINDS.items()])
 _ARROW = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.string()] * 2 + [pa.list_(pa.string())] * 2 + [pa.string()]
 
 

@@ -49,7 +49,8 @@ class ChunkStore:
         if self.exists() and not force:
             return False
         self.drop()
-        self.spark.createDataFrame([], CODE_CHUNK).write.mode("overwrite").parquet(self.path)
+        fs, path = self._fs()
+        fs.mkdirs(path)
         return True
 
     def drop(self) -> None:
