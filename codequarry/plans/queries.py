@@ -336,7 +336,7 @@ SELECT query, neighbour, rank::INT AS rank, score FROM (SELECT *, row_number() O
         "delete_repo": f"WITH {_CHUNKS}, {_LARGEST} SELECT id, repo FROM chunks WHERE repo IS DISTINCT FROM (SELECT repo FROM big)",
         "reindex_repo": f"WITH {_CHUNKS}, {_LARGEST} SELECT id, repo, md5(CASE WHEN repo = (SELECT repo FROM big) THEN upper(text) ELSE text END) AS digest FROM chunks",
         "incremental_files": f"WITH {_FILES}, d AS (SELECT *, sha256(coalesce(content, '')) AS digest FROM files) SELECT file_id, digest FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.scanned_at < k.committed_at + INTERVAL 14 DAY AND k.repo = d.repo AND k.relative_path = d.relative_path AND k.digest = d.digest)",
-        "sources_projection": f"WITH {_CHUNKS}, s AS (SELECT repo, path, start_line::VARCHAR || '-' || end_line::VARCHAR AS lines, symbol_name AS symbol, round(end_line / (end_line + start_line), 6) AS score FROM chunks) SELECT *, round(score * 100 + 1e-7)::INT AS percent, printf('%.3f', score + 1e-9) AS shown, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM s",
+        "sources_projection": f"WITH {_CHUNKS}, s AS (SELECT repo, path, start_line::VARCHAR || '-' || end_line::VARCHAR AS lines, symbol_name AS symbol, round(end_line / (end_line + start_line), 6) AS score FROM chunks) SELECT *, round(score * 100)::INT AS percent, printf('%.3f', score + 1e-9) AS shown, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM s",
         "rag_prompt": f"""WITH {_RESULTS}, parts AS (SELECT rank, '### [' || rank || '] ' || repo || '/' || path || ':' || start_line || '-' || end_line || chr(10) || concat_ws(' | ', 'Language: ' || language, 'Symbol: ' || symbol_name, 'Relevance: ' || round(score * 100)::INT || '%') || chr(10) || '```' || coalesce(language, '') || chr(10) || text || chr(10) || '```' AS part FROM results WHERE score >= 0.5),
 p AS (SELECT CASE WHEN count(*) > 0 THEN '{rag.INTRODUCTION}' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) ELSE '{rag.NOTHING_FOUND}' END || chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt FROM parts)
 SELECT md5(prompt) AS digest, length(prompt) AS n_chars FROM p""",
