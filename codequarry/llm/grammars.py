@@ -39,7 +39,7 @@ Ternary = '?' Assign ':' Assign
 JS: Bin = Unary (Op Unary)*
 TS: Bin = Unary (Op2 | Op Unary)*
 Op = BINOP | '*' | '+' | '-' | '/' | '<' | '|' | '&' | 'in' | 'instanceof' | '>' '>'? '>'?
-Unary = ('+' | '-' | PREFIX | '++' | '--' | 'await' | 'typeof' | 'void' | 'delete')* Postfix
+Unary = ('+' | '-' | '!' | PREFIX | '++' | '--' | 'await' | 'typeof' | 'void' | 'delete')* Postfix
 Postfix = Lhs ('++' | '--')?
 Lhs = 'new'* Primary Tail*
 Tail = '.' IDENT | '.' PRIVATE | '?.' (IDENT | '(args)' | '[index]' | PRIVATE) | '(args)' | '[index]' | TEMPLATE
@@ -123,8 +123,8 @@ SCRIPT_CONTEXTUAL = "as async await from get let of set static yield type namesp
 SCRIPT_PUNCTUATION = {
     "ASSIGN": "+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=",
     "BINOP": "** % == != === !== <= >= << ^ && || ??",
-    "PREFIX": "! ~",
-    "": "=> ... ?. ++ -- = * + - / < > | & ? : . , ; @",
+    "PREFIX": "~",
+    "": "=> ... ?. ++ -- = * + - / < > | & ? : . , ; @ !",
 }
 # group kind: (terminal, start symbol), and those that are read piece by piece
 SCRIPT_GROUPS = {
@@ -366,7 +366,7 @@ LambdaParam = NAME ('=' Test)? | '*' NAME? | '**' NAME | '/'
 Or = NotTest (('and' | 'or') NotTest)*
 NotTest = 'not'* Compare
 Compare = Sum ((CMP | 'in' | 'is' | 'not' 'in' | 'is' 'not') Sum)*
-Sum = Factor ((OP | '*' | '**' | '-' | '+' | '/' | '@') Factor)*
+Sum = Factor ((OP | '|' | '*' | '**' | '-' | '+' | '/' | '@') Factor)*
 Factor = ('+' | '-' | '~')* 'await'? Atom Trailer*
 Atom = NAME | NUM | STR STR* | 'None' | '...' | '(paren)' | '(gen)' | '[array]' | '[comp]' | '{dict}' | '{set}'
 Paren = StarExprs? | Yield
@@ -407,8 +407,8 @@ PYTHON_CONTEXTUAL = "match case type"
 PYTHON_PUNCTUATION = {
     "AUG": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=",
     "CMP": "== != <= >= < >",
-    "OP": "// % << >> & ^ |",
-    "": ":= -> ... ** * + - / @ ~ = : . , ;",
+    "OP": "// % << >> & ^",
+    "": ":= -> ... ** * + - / @ ~ = : . , ; |",
 }
 PYTHON_GROUPS = {
     "(": (("(args)", "Args"), ("(params)", "Params"), ("(paren)", "Paren"), ("(gen)", "Gen"), ("(with)", "WithItems"), ("(target)", "Single"), ("(targets)", "TargetGroup"), ("(imports)", "ImportGroup"), ("(del)", "DelGroup"), ("(pattern)", "PatternItems")),
