@@ -16,6 +16,7 @@ from codequarry.parsers.base import Parser, Symbol, file_symbol
 from codequarry.parsers.braces import JavaParser, TypeScriptParser
 from codequarry.parsers.plain import ConfigParser, SqlParser
 from codequarry.parsers.python import PythonParser
+from codequarry.session import spread
 
 CHARS_PER_LINE = 80  # fixed value: the assumed length of a line when an overlap in tokens becomes lines
 
@@ -99,7 +100,7 @@ def chunk_files(files: DataFrame, max_tokens: int = 1000, overlap_tokens: int =
             columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW, strict=True)], _CHUNKED.names)
 
-    return own.mapInArrow(chunk, _CHUNKED)
+    return spread(own).mapInArrow(chunk, _CHUNKED)
 
 
 def whole_file_chunks(files: DataFrame) -> DataFrame:

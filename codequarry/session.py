@@ -46,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     an executor that may be lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores. A large table has far more input splits than cores and stays as
+    it is; only a table of a few splits is moved, so that work on its rows isn't left to a few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
