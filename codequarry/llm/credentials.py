@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import spread
+
 DEPTH = 4
 SETTINGS = (".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".properties", ".cfg", ".conf", ".npmrc", ".pypirc", ".netrc")
 
@@ -402,7 +404,7 @@ def _own(chunks: DataFrame) -> DataFrame:
 
 def found_credentials(chunks: DataFrame) -> DataFrame:
     """(id, line_no, kind, layers): each credential once; `layers` counts the encodings around it."""
-    return _own(chunks).mapInArrow(_scanned, "id string, line_no int, kind string, layers int").distinct()
+    return spread(_own(chunks)).mapInArrow(_scanned, "id string, line_no int, kind string, layers int").distinct()
 
 
 def credential_lines(chunks: DataFrame) -> DataFrame:
@@ -412,4 +414,4 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
 
 def redacted_chunks(chunks: DataFrame) -> DataFrame:
     """(id, credentials, redacted): the blanked text of every chunk that holds a credential."""
-    return _own(chunks).mapInArrow(_redacted, "id string, credentials int, redacted string").dropDuplicates(["id"])
+    return spread(_own(chunks)).mapInArrow(_redacted, "id string, credentials int, redacted string").dropDuplicates(["id"])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.syntax import EXTENSIONS, reason
+from codequarry.session import spread
 
 LEAST_WORDS = 5
 LANGUAGES = ("python", "typescript", "javascript", "java")
@@ -364,7 +365,7 @@ def documented_functions(files: DataFrame) -> DataFrame:
     """One row per described function or method."""
     own = _own(files)
     kind = own.schema["file_id"].dataType.simpleString()
-    rows = own.mapInArrow(_paired, f"file_id {kind}, symbol_name string, name_line int, signature string, doc_comment string, text string")
+    rows = spread(own).mapInArrow(_paired, f"file_id {kind}, symbol_name string, name_line int, signature string, doc_comment string, text string")
     return rows.dropDuplicates(["file_id", "symbol_name", "name_line"])
 
 
@@ -372,4 +373,4 @@ def described_names(files: DataFrame) -> DataFrame:
     """(file_id, symbol_name, name_line) of the same rows, without their texts."""
     own = _own(files)
     kind = own.schema["file_id"].dataType.simpleString()
-    return own.mapInArrow(lambda b: (x.select([0, 1, 2]) for x in _paired(b)), f"file_id {kind}, symbol_name string, name_line int").distinct()
+    return spread(own).mapInArrow(lambda b: (x.select([0, 1, 2]) for x in _paired(b)), f"file_id {kind}, symbol_name string, name_line int").distinct()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import spread
+
 # fixed values: names of the legacy encodings that are tried, most usual first
 LEGACY = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "cp852", "iso8859-15", "cp1254", "cp1257", "cp866", "koi8-r", "iso8859-5")
 # fixed values: (decoded as, was) of single-byte mix-ups
@@ -260,7 +262,7 @@ def repaired_documents(documents: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     docs = docs.where(F.col("text").rlike("[^\\x00-\\x7f]|&#"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_judged, f"doc_id {kind}, restored string, repaired_passages int, garbled_passages int").dropDuplicates(["doc_id"])
+    return spread(docs).mapInArrow(_judged, f"doc_id {kind}, restored string, repaired_passages int, garbled_passages int").dropDuplicates(["doc_id"])
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -268,5 +270,5 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     docs = docs.where(F.col("text").rlike("[^\\x00-\\x7f]|&#"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(lambda batches: (b.select([0]) for b in _judged(batches)), f"doc_id {kind}")
+    found = spread(docs).mapInArrow(lambda batches: (b.select([0]) for b in _judged(batches)), f"doc_id {kind}")
     return found.distinct()

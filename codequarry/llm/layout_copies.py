@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.arrowtext import utf8_buffer, windows
 from codequarry.operators.skew import hot_keys, salted_join
-from codequarry.session import cut
+from codequarry.session import cut, spread
 
 FIELD_LANGUAGES = ("yaml", "json", "config")
 FIELD_EXTENSIONS = (".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".properties", ".cfg", ".conf")
@@ -274,7 +274,7 @@ def layout_copies(chunks: DataFrame, hot: int = 100_000) -> DataFrame:
     `hot`: groups with more rows than this are spread over several tasks when their rows meet the first row's text.
     """
     rows = with_block_flag(chunks.where("id is not null and text is not null")).select("id", "text", "_block")
-    hashed = rows.mapInArrow(hashed_batches, "id string, h1 long, h2 long").distinct()
+    hashed = spread(rows).mapInArrow(hashed_batches, "id string, h1 long, h2 long").distinct()
     groups = hashed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     hashed = cut(hashed.join(groups.select("h1", "h2"), ["h1", "h2"], "left_semi"))
     groups = cut(hashed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))

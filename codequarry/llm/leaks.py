@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.near_copies import WORD_WITHOUT_UNDERSCORE, _mix, word_hashes
+from codequarry.session import spread
 
 LEAST_RUN, TERM, PASSAGE, STRIDE = 12, 5, 24, 12
 K1, B, BLOCK = 1.2, 0.75, 64
@@ -174,7 +175,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, item_block: int = ITEM_
     spark = documents.sparkSession
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
     blocks = max(1, math.ceil(items.count() / item_block))
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
     out = None

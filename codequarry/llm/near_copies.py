@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from codequarry.functions.arrowtext import utf8_buffer, windows
 from codequarry.llm.layout_copies import _mix, _NON_ASCII, _powers, layout_hashes, with_block_flag
 from codequarry.operators.components import connected_components
-from codequarry.session import cut
+from codequarry.session import cut, spread
 
 RUN, LEAST_WORDS, THRESHOLD = 3, 30, 0.7
 BANDS, ROWS, SKETCH_BITS = 28, 4, 512
@@ -213,7 +213,7 @@ def _node_pairs(signed: DataFrame, threshold: float, hot: int) -> DataFrame:
 
 def _found(chunks: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
     rows = with_block_flag(chunks.where("id is not null and text is not null")).select("id", "text", "_block")
-    signed = cut(rows.mapInArrow(_signed, SIGNED))
+    signed = cut(spread(rows).mapInArrow(_signed, SIGNED))
     return signed.select("s", "id", "h1", "h2").distinct(), cut(_node_pairs(signed, threshold, hot))
 
 

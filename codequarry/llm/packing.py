@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codequarry.session import cut
+from codequarry.session import cut, spread
 
 CAPACITY = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,7 +64,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n): tokens of every document."""
     own = documents.where("doc_id is not null").select("doc_id", "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_sized(tokenizer), f"doc_id {kind}, n long").groupBy("doc_id").agg(F.max("n").alias("n"))
+    return spread(own).mapInArrow(_sized(tokenizer), f"doc_id {kind}, n long").groupBy("doc_id").agg(F.max("n").alias("n"))
 
 
 def _ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

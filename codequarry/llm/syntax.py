@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import grammars as G
 from codequarry.llm.gll import NL, Grammar
+from codequarry.session import spread
 
 MEMO = 400_000  # remembered pieces per language and worker; the memory is cleared when it is full
 
@@ -972,7 +973,7 @@ def rejected_files(files: DataFrame) -> DataFrame:
     """(file_id, reason): one row per rejected file."""
     own = files.where("file_id is not null and content is not null").where(F.lower("extension").isin(*EXTENSIONS)).select("file_id", "extension", "content")
     kind = own.schema["file_id"].dataType.simpleString()
-    return own.mapInArrow(_judged, f"file_id {kind}, reason string").groupBy("file_id").agg(F.min("reason").alias("reason"))
+    return spread(own).mapInArrow(_judged, f"file_id {kind}, reason string").groupBy("file_id").agg(F.min("reason").alias("reason"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
