@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from codequarry.functions.text import CHARS_PER_TOKEN
+from codequarry.session import spread
 
 
 class EmbeddingProvider(ABC):
@@ -85,15 +87,15 @@ def with_embeddings(chunks: DataFrame, provider: EmbeddingProvider, text: str =
             cut = texts.fillna("").str.slice(0, provider.max_tokens * CHARS_PER_TOKEN)
             yield pd.Series(list(provider.embed_batch(cut.tolist()).astype(np.float32)))
 
-    return chunks.withColumn(column, vectors(F.col(text)))
+    return spread(chunks).withColumn(column, vectors(F.col(text)))
 
 
 def hashed_weights(texts: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
-    """(key, bucket, weight): the provider's vectors in long form, by Spark expressions only."""
-    words = texts.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("w")).where("w <> ''")
-    counted = words.groupBy(key, "w").agg(F.count("*").alias("n"))
+    """(key, bucket, weight): the provider's vectors in long form, by Spark expressions only. Words are summed per bucket before
+    anything is shuffled."""
+    words = spread(texts.select(key, text)).select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("w")).where("w <> ''")
     h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
-    signed = counted.select(key, (h % dimension).alias("bucket"), (F.col("n") * F.when(F.shiftright(h, 31) % 2 == 0, 1).otherwise(-1)).alias("x"))
-    sums = signed.groupBy(key, "bucket").agg(F.sum("x").alias("x"))
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return sums.join(norms, key).where("x <> 0").select(key, "bucket", F.round(F.col("x") / F.col("norm"), 6).alias("weight"))
+    sign = F.when(F.shiftright(h, 31) % 2 == 0, 1).otherwise(-1)
+    sums = words.select(key, (h % dimension).alias("bucket"), sign.alias("x")).groupBy(key, "bucket").agg(F.sum("x").alias("x"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))  # at most `dimension` rows a key
+    return sums.withColumn("norm", length).where("x <> 0").select(key, "bucket", F.round(F.col("x") / F.col("norm"), 6).alias("weight"))

@@ -50,6 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores. A large table has far more input splits than cores and stays as
-    it is; only a table of a few splits is moved, so that work on its rows isn't left to a few tasks."""
+    it is; only a plain scan of a few splits is moved, so that work on its rows isn't left to a few tasks. What a shuffle has
+    already spread is left to it: asking for its partitions would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
