@@ -38,7 +38,9 @@ _PIECES = rf"[rbfuRBFU]?(?:{_LITERAL})(?:\s*(?:\+|\.(?=\s*[\"'])|\\\n)?\s*[rbfu]
 _FALLBACK = r"(?:(?:[\w.]*\b(?:environ\.get|getenv|getOrDefault|getProperty|get)\(\s*(?:[\"'][\w.-]+[\"'])\s*,\s*)|(?:process\.env(?:\.\w+|\[[\"']\w+[\"']\])\s*(?:\|\||\?\?)\s*)|(?:[\w.]+\s*(?:\|\||\?\?|\bor\b)\s*))"
 _TYPE = r"(?:\s*:\s*[A-Za-z_][\w.<>\[\]| ]*?(?=\s*=))?"
 _NAMED = re.compile(rf"(?P<key>[A-Za-z_$][\w$.-]*)[\"'`\]]*{_TYPE}[ \t]*(?:(?P<op>:=|=>|=(?!=)|:(?!:|//))|(?P<comma>,))\s*\(?{_FALLBACK}?(?P<value>{_PIECES})")
-_BARE = re.compile(r"(?:(?P<dash>--)(?P<option>[A-Za-z][\w-]*)(?:=|[ \t]+)|(?P<key>[A-Za-z_$][\w$.-]*)[\"']?[ \t]*[=:][ \t]*)(?=(?P<value>[^\s\"'`<>\[\]{}(),=][^\s\"'`]*))")
+_BARE = re.compile(
+    r"(?P<dash>--)(?P<option>[A-Za-z][\w-]*)(?:=|[ \t]+)(?=(?P<given>[^\s\"'`]+))|(?P<key>[A-Za-z_$][\w$.-]*)[\"']?[ \t]*[=:][ \t]*(?=(?P<value>[^\s\"'`<>\[\]{}(),][^\s\"'`]*))"
+)
 _CALL = re.compile(rf"(?P<key>[A-Za-z_$][\w$.]*)\(\s*(?P<value>{_PIECES})")
 _COMMENT = re.compile(r"\s*(?://|#|\*|--|/\*|;)")
 
@@ -346,9 +348,10 @@ def _named(text: str, settings: bool, add, depth: int) -> None:
                 kind = _key_kind(m["option"] or m["key"])
                 if not kind or not (settings or m["dash"] or comment):
                     continue
-                value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m["value"])
-                if _plausible(value, kind) and "(" not in value:
-                    add(m.start("value"), [(m.start("value"), m.start("value") + len(value))], kind)
+                which = "given" if m["dash"] else "value"
+                value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m[which])
+                if _plausible(value, kind) and (m["dash"] or "(" not in value):
+                    add(m.start(which), [(m.start(which), m.start(which) + len(value))], kind)
 
 
 def redact(text: str, found: list[Found]) -> str:

@@ -138,9 +138,15 @@ def block_fields(text: str) -> tuple[str, list[tuple[str, str]]]:
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
         return "", []
-    first = lines[0].strip()
-    alone = first.endswith(":") or first[:1] in "[#;" or not _SPLIT.search(first)
-    heading, lines = (first, lines[1:]) if alone else ("", lines)
+    heads: list[str] = []
+    while lines and lines[0].lstrip()[:1] in "#;":
+        heads.append(lines.pop(0).strip())
+    if lines:
+        first = lines[0].strip()
+        if first.endswith(":") or first[0] == "[" or not _SPLIT.search(first):
+            heads.append(first)
+            lines = lines[1:]
+    heading = "\n".join(heads)
     if not lines:
         return heading, []
     least = min(len(x) - len(x.lstrip()) for x in lines)
