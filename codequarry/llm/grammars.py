@@ -38,7 +38,7 @@ Cond = Bin Ternary?
 Ternary = '?' Assign ':' Assign
 JS: Bin = Unary (Op Unary)*
 TS: Bin = Unary (Op2 | Op Unary)*
-Op = BINOP | '*' | '+' | '-' | '/' | '<' | '|' | '&' | 'in' | 'instanceof' | '>' '>'? '>'?
+Op = BINOP | '*' | '+' | '-' | '/' | '<' | '|' | '&' | 'in' | 'instanceof' | '>~'? '>~'? '>'
 Unary = ('+' | '-' | '!' | PREFIX | '++' | '--' | 'await' | 'typeof' | 'void' | 'delete')* Postfix
 Postfix = Lhs ('++' | '--')?
 Lhs = 'new'* Primary Tail*
@@ -118,8 +118,8 @@ TS: Spec = 'type' (IDENT | STR) ('as' (IDENT | STR))?
 TS: Params = 'this' ':' Type (',' Param)* ','?
 TS: Param = NAME '?' T
 """
-SCRIPT_RESERVED = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new null return super switch this throw try typeof var void while with enum"
-SCRIPT_CONTEXTUAL = "as async await from get let of set static yield type namespace module declare abstract readonly public private protected override keyof infer is asserts unique satisfies out accessor implements interface global assert"
+SCRIPT_RESERVED = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new null return super switch this throw try typeof var void while with enum await let static yield public private protected implements interface package"
+SCRIPT_CONTEXTUAL = "as async from get of set type namespace module declare abstract readonly override keyof infer is asserts unique satisfies out accessor global assert"
 SCRIPT_PUNCTUATION = {
     "ASSIGN": "+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=",
     "BINOP": "** % == != === !== <= >= << ^ && || ??",
@@ -152,7 +152,7 @@ TP = '<' TypeParam (',' TypeParam)* '>'
 TypeParam = Annotation* NAME ('extends' Type ('&' Type)*)?
 Type = Annotation* (PRIMITIVE | ClassType) (Annotation* '[empty]')*
 ClassType = NAME TA? ('.' Annotation* NAME TA?)*
-TA = '<' (TypeArg (',' TypeArg)*)? '>'
+TA = '<' TypeArg (',' TypeArg)* '>'
 TypeArg = Type | Annotation* '?' (('extends' | 'super') Type)?
 Members = Member*
 Member = ';' | 'static'? '{block}' | Mod* Declared | Mod* TP? (Type | 'void') NAME '(params)' Dims Throws? MethodBody | Mod* TP? NAME '(params)' Throws? '{block}' | Mod* NAME '{block}' | Mod* Type Declarator (',' Declarator)* ';'
@@ -185,21 +185,21 @@ Patterns = (PatternItem (',' PatternItem)*)?
 PatternItem = Type NAME | RecordPattern
 Arm = Expr ';' | '{block}' | 'throw' Expr ';'
 StmtExpr = Lhs AssignOp Expr | ('++' | '--') Lhs | Lhs ('++' | '--') | Called
-Called = Chain? Call
-Chain = Primary Tail* | Lhs
-Call = '(args)' | Tail
+Called = Lhs '(args)' | Creation | Lhs '.' 'new' ClassType Diamond? '(args)' '{class}'?
+Creation = 'new' Annotation* ClassType Diamond? '(args)' '{class}'?
+Diamond = '<' '>'
 Expr = Cond | Lhs AssignOp Expr | Lambda | Cond0 '?' Expr ':' Lambda
 Lambda = (NAME | '(params)' | '(names)') '->' (Expr | '{block}')
 Names = NAME (',' NAME)*
-AssignOp = '=' | ASSIGN | '>' '>=' | '>' '>' '>='
+AssignOp = '=' | ASSIGN | '>~' '>=' | '>~' '>~' '>='
 Cond = Cond0 ('?' Expr ':' Expr)?
 Cond0 = Unary (Op Unary | 'instanceof' ('final'? Type NAME? | RecordPattern))*
-Op = BINOP | '+' | '-' | '*' | '/' | '<' | '&' | '|' | '>' '>'? '>'? | '>='
+Op = BINOP | '+' | '-' | '*' | '/' | '<' | '&' | '|' | '>~'? '>~'? '>' | '>='
 Unary = ('+' | '-' | PREFIX | '++' | '--' | '(cast)')* (Lhs ('++' | '--')? | Switch | '(cast)' Lambda)
 Switch = 'switch' '(expr)' '{switch}'
 Lhs = Primary Tail*
-Tail = '.' TA? (NAME | 'this' | 'super' | 'class') | '.' 'new' ClassType '(args)' '{class}'? | '(args)' | '[index]' | '::' TA? (NAME | 'new')
-Primary = NAME | 'this' | 'super' | NUM | STR | 'null' | '(expr)' | 'new' Annotation* ClassType '(args)' '{class}'? | 'new' Annotation* (ClassType | PRIMITIVE) ('[index]' '[index]'* '[empty]'* | '[empty]' '[empty]'* '{array}')
+Tail = '.' TA? (NAME | 'this' | 'super' | 'class') | '.' 'new' ClassType Diamond? '(args)' '{class}'? | '(args)' | '[index]' | '::' TA? (NAME | 'new')
+Primary = NAME | 'this' | 'super' | NUM | STR | 'null' | '(expr)' | Creation | 'new' Annotation* (ClassType | PRIMITIVE) ('[index]' '[index]'* '[empty]'* | '[empty]' '[empty]'* '{array}')
 Primary = (PRIMITIVE | ClassType) '[empty]'* '::' ('new' | NAME) | (PRIMITIVE | 'void' | ClassType) '[empty]'* '.' 'class'
 Args = (Expr (',' Expr)*)?
 Cast = Type ('&' Type)*

@@ -187,7 +187,8 @@ class Braced(Language):
         self.goes_on = word("else", "catch", "finally", "while", "in", "instanceof", "as", "satisfies", "extends", "implements", "from", "of", "is", "permits", "throws")
         self.do = word("do")
         self.quiet = {self.punctuation[x] for x in (";", ",", "=", "=>", ".", "?", ":", "->", "::", "&", "|") if x in self.punctuation}
-        self.case = word("case", "default")
+        # a `>` that another follows at once: part of a shift, or of closing type arguments
+        self.joined = self.id(self.grammar.mask(">", ">~", "ANY"))
 
     def judge(self, text: str) -> None:
         """Raises Rejected if no dialect accepts the text."""
@@ -223,7 +224,7 @@ class Braced(Language):
                         raise Rejected("regex")
                     token, end = self.regex, r.end()
                 else:
-                    token = punctuation.get(mark)
+                    token = self.joined if mark == ">" and text.startswith(">", end) else punctuation.get(mark)
                     if token is None:
                         if java:
                             raise Rejected("character")
@@ -264,7 +265,7 @@ class Braced(Language):
                 if not stack:
                     raise Rejected("bracket")
                 if close == "}" and kind == "`":
-                    if now and "Expr" not in self.derives_cached(tuple(now)):
+                    if "Expr" not in self.derives_cached(tuple(now)):
                         raise Rejected("template")
                     end = self.chunk(text, end).end()
                     if text.startswith("${", end):
