@@ -155,7 +155,7 @@ ClassType = NAME TA? ('.' Annotation* NAME TA?)*
 TA = '<' TypeArg (',' TypeArg)* '>'
 TypeArg = Type | Annotation* '?' (('extends' | 'super') Type)?
 Members = Member*
-Member = ';' | 'static'? '{block}' | Mod* Declared | Mod* TP? (Type | 'void') NAME '(params)' Dims Throws? MethodBody | Mod* TP? NAME '(params)' Throws? '{block}' | Mod* NAME '{block}' | Mod* Type Declarator (',' Declarator)* ';'
+Member = ';' | 'static'? '{block}' | Mod* Declared | Mod* TP? (Type | 'void') NAME '(params)' Dims Throws? MethodBody | Mod* TP? CLASSNAME '(params)' Throws? '{block}' | Mod* CLASSNAME '{block}' | Mod* Type Declarator (',' Declarator)* ';'
 MethodBody = '{block}' | ('default' AnnotationValue)? ';'
 Dims = '[empty]'*
 Throws = 'throws' Types
@@ -240,7 +240,7 @@ Order = 'ORDER' 'BY' Key (',' Key)*
 Key = Expr ('ASC' | 'DESC')? ('NULLS' ('FIRST' | 'LAST'))?
 Limits = Limit*
 Limit = 'LIMIT' Expr (',' Expr)? | 'OFFSET' Expr ('ROW' | 'ROWS')? | 'FETCH' ('FIRST' | 'NEXT') Expr? ('ROW' | 'ROWS') ('ONLY' | 'WITH' 'TIES') | 'FOR' ('UPDATE' | 'SHARE') ('OF' Path)? ('NOWAIT' | 'SKIP' 'LOCKED')?
-Insert = With? 'INSERT' ('INTO' | 'OVERWRITE' | 'OR' ('REPLACE' | 'IGNORE') 'INTO') 'TABLE'? Path ('AS' NAME)? ('(names)' | '(exprs)')? ('VALUES' Rows | Query | 'DEFAULT' 'VALUES') Conflict? Returning?
+Insert = With? 'INSERT' ('INTO' | 'OVERWRITE' | 'OR' ('REPLACE' | 'IGNORE') 'INTO') 'TABLE'? Path ('AS' NAME)? '(names)'? ('VALUES' Rows | Query | 'DEFAULT' 'VALUES') Conflict? Returning?
 Rows = '(row)' (',' '(row)')*
 Row = (Expr | 'DEFAULT') (',' (Expr | 'DEFAULT'))*
 Conflict = 'ON' 'CONFLICT' ('(exprs)' ('WHERE' Expr)? | 'ON' 'CONSTRAINT' NAME)? 'DO' ('NOTHING' | 'UPDATE' 'SET' Sets ('WHERE' Expr)?) | 'ON' 'DUPLICATE' 'KEY' 'UPDATE' Sets
@@ -254,8 +254,8 @@ Create = 'CREATE' Temp 'TABLE' IfNot Path ('(columns)' TableOption* ('AS' Query)
 Temp = ('GLOBAL' | 'LOCAL')? ('TEMP' | 'TEMPORARY' | 'UNLOGGED' | 'EXTERNAL')?
 TableOption = NAME '='? (NAME | STR | NUM) | 'PARTITION' 'BY' NAME? ('(exprs)' | '(columns)') | 'WITH' '(options)' | 'INHERITS' '(names)' | 'TABLESPACE' NAME | 'USING' NAME | 'COMMENT' '='? STR | 'WITHOUT' 'ROWID'
 Columns = ColumnItem (',' ColumnItem)*
-ColumnItem = NAME Kind? Rule* | Constraint | 'LIKE' Path NAME*
-Kind = (NAME | 'DOUBLE' | 'TIMESTAMP' | 'TIME' | 'INTERVAL' | 'CHARACTER' | 'SET') ('PRECISION' | 'VARYING')? '(exprs)'? (('WITH' | 'WITHOUT') 'TIME' 'ZONE')? NAME? '[any]'* | NAME '.' NAME '(exprs)'? '[any]'*
+ColumnItem = NAME Kind Rule* | Constraint | 'LIKE' Path NAME*
+Kind = (NAME | 'DOUBLE' | 'TIMESTAMP' | 'TIME' | 'INTERVAL' | 'CHARACTER' | 'SET') ('PRECISION' | 'VARYING')? '(exprs)'? (('WITH' | 'WITHOUT') 'TIME' 'ZONE')? ('UNSIGNED' | 'SIGNED' | 'ZEROFILL')* '[any]'* | NAME '.' NAME '(exprs)'? '[any]'*
 Rule = ('CONSTRAINT' NAME)? ('NOT' 'NULL' | 'NULL' | 'PRIMARY' 'KEY' ('ASC' | 'DESC')? | 'UNIQUE' | 'DEFAULT' Unary | 'CHECK' '(expr)' | References | 'COLLATE' Path | 'GENERATED' ('ALWAYS' | 'BY' 'DEFAULT') 'AS' ('IDENTITY' '(any)'? | '(expr)' ('STORED' | 'VIRTUAL')?) | 'AUTO_INCREMENT' | 'AUTOINCREMENT' | 'COMMENT' STR | 'ON' 'UPDATE' Unary | 'DEFERRABLE' | 'INITIALLY' NAME)
 References = 'REFERENCES' Path '(names)'? ('ON' ('DELETE' | 'UPDATE') Action | 'MATCH' NAME | 'NOT'? 'DEFERRABLE' | 'INITIALLY' NAME)*
 Action = 'CASCADE' | 'RESTRICT' | 'NO' 'ACTION' | 'SET' ('NULL' | 'DEFAULT')
@@ -274,8 +274,8 @@ Grant = ('GRANT' | 'REVOKE') Privilege (',' Privilege)* ('ON' ('TABLE' | 'SCHEMA
 Privilege = 'SELECT' '(names)'? | 'INSERT' | 'UPDATE' '(names)'? | 'DELETE' | 'ALL' NAME? | NAME | 'REFERENCES' | 'TRIGGER' | 'EXECUTE' | 'CREATE'
 Other = 'BEGIN' Loose* | ('COMMIT' | 'ROLLBACK' | 'SAVEPOINT' | 'START') Loose* | 'SET' Path ('=' | 'TO') Loose+ | 'SET' NAME Loose* | 'TRUNCATE' 'TABLE'? Path (',' Path)* Loose* | 'COMMENT' 'ON' NAMEISH Path ('(any)')? 'IS' (STR | 'NULL') | 'COMMENT' 'ON' 'TABLE' Path 'IS' (STR | 'NULL') | ('EXPLAIN' | 'ANALYZE') Loose* | 'DO' Loose* | 'CALL' Call | 'USE' NAME | 'MERGE' 'INTO' Path ('AS'? NAME)? 'USING' Source 'ON' Expr Merge+ | ('VACUUM' | 'SHOW' | 'PRAGMA' | 'EXECUTE' | 'COPY' | 'REFRESH') Loose*
 Merge = 'WHEN' 'NOT'? 'MATCHED' ('AND' Expr)? 'THEN' ('UPDATE' 'SET' Sets | 'DELETE' | 'INSERT' '(names)'? 'VALUES' '(row)' | 'DO' 'NOTHING')
-Loose = ANY
-Any = ANY*
+Loose = WILD
+Any = WILD*
 Path = NAME ('.' NAME)*
 Names = NAME (',' NAME)*
 Exprs = Expr (',' Expr)*
@@ -288,10 +288,10 @@ Compare = Sum (Comparison)*
 Comparison = (CMP | '=' | '<' | '>') (('ANY' | 'ALL' | 'SOME') ('(query)' | '(exprs)') | Sum) | 'IS' 'NOT'? ('NULL' | 'TRUE' | 'FALSE' | 'UNKNOWN' | 'DISTINCT' 'FROM' Sum) | 'NOT'? 'IN' ('(query)' | '(exprs)') | 'NOT'? 'BETWEEN' 'SYMMETRIC'? Sum 'AND' Sum | 'NOT'? ('LIKE' | 'ILIKE' | 'REGEXP' | 'RLIKE' | 'SIMILAR' 'TO') Sum ('ESCAPE' STR)? | 'ISNULL' | 'NOTNULL'
 Sum = Unary (('+' | '-' | '*' | '/' | OP) Unary)*
 Unary = ('+' | '-' | UNARY)* Primary ('::' Kind | '[any]' | 'COLLATE' Path | 'AT' 'TIME' 'ZONE' Primary)*
-Primary = NUM | STR | 'NULL' | 'TRUE' | 'FALSE' | PARAM | Path | '(query)' | '(exprs)' | Call | 'CASE' Expr? When+ ('ELSE' Expr)? 'END' | 'EXISTS' '(query)' | 'CAST' '(cast)' | 'INTERVAL' STR NAME? | ('DATE' | 'TIME' | 'TIMESTAMP') STR | 'ARRAY' ('[any]' | '(query)') | ('CURRENT_DATE' | 'CURRENT_TIMESTAMP' | 'CURRENT_TIME' | 'CURRENT_USER') '(exprs)'? | 'EXTRACT' '(extract)' | 'ROW' '(exprs)' | 'DEFAULT'
+Primary = NUM | STR | 'NULL' | 'TRUE' | 'FALSE' | PARAM | Path | '(query)' | '(exprs)' | Call | 'CASE' Expr? When+ ('ELSE' Expr)? 'END' | 'EXISTS' '(query)' | 'CAST' '(cast)' | 'INTERVAL' STR NAME? | ('DATE' | 'TIME' | 'TIMESTAMP') STR | 'ARRAY' ('[any]' | '(query)') | ('CURRENT_DATE' | 'CURRENT_TIMESTAMP' | 'CURRENT_TIME' | 'CURRENT_USER') '(exprs)'? | 'EXTRACT' '(extract)' | 'ROW' '(exprs)'
 When = 'WHEN' Expr 'THEN' Expr
 Call = (Path | 'LEFT' | 'RIGHT' | 'REPLACE' | 'IF' | 'VALUES' | 'DATE' | 'TIME' | 'TIMESTAMP' | 'SET') ('(call)' | '(empty)') ('FILTER' '(where)')? ('WITHIN' 'GROUP' '(window)')? ('OVER' ('(window)' | '(empty)' | NAME))?
-CallArgs = '*' | ('DISTINCT' | 'ALL')? CallArg (',' CallArg)* Order? ('SEPARATOR' STR)? | Query | Expr 'IN' Expr | NAME? Expr? 'FROM' Expr ('FOR' Expr)?
+CallArgs = '*' | ('DISTINCT' | 'ALL')? CallArg (',' CallArg)* Order? ('SEPARATOR' STR)? | Expr 'IN' Expr | NAME? Expr? 'FROM' Expr ('FOR' Expr)?
 CallArg = Expr ('AS' Kind)? | Expr 'USING' NAME | NAME '=>' Expr
 Cast = Expr 'AS' Kind
 Extract = NAME 'FROM' Expr
@@ -300,7 +300,7 @@ Window = NAME? ('PARTITION' 'BY' Exprs)? Order? (('ROWS' | 'RANGE' | 'GROUPS') F
 Frame = Bound | 'BETWEEN' Bound 'AND' Bound
 Bound = 'UNBOUNDED' ('PRECEDING' | 'FOLLOWING') | 'CURRENT' 'ROW' | Expr ('PRECEDING' | 'FOLLOWING')
 """
-SQL_RESERVED = "SELECT FROM WHERE GROUP ORDER HAVING JOIN ON AND OR NOT INTO VALUES SET CREATE TABLE AS UNION CASE WHEN THEN ELSE END IN IS LIKE BETWEEN LIMIT DISTINCT INNER CROSS NATURAL INTERSECT EXCEPT USING NULL WITH UPDATE DELETE INSERT BY"
+SQL_RESERVED = "SELECT FROM WHERE GROUP ORDER HAVING JOIN ON AND OR NOT INTO VALUES SET CREATE TABLE AS UNION CASE WHEN THEN ELSE END IN IS LIKE BETWEEN LIMIT DISTINCT INNER CROSS NATURAL INTERSECT EXCEPT USING NULL WITH UPDATE DELETE INSERT BY ALL ANY ASC CAST CHECK COLLATE CONSTRAINT DEFAULT DESC FETCH FOR FOREIGN FULL GRANT ILIKE LATERAL OFFSET ONLY PRIMARY REFERENCES RETURNING SIMILAR SOME TO UNIQUE TRUE FALSE"
 SQL_GROUPS = {
     "(": (("(query)", "Query"), ("(statement)", "Stmt"), ("(names)", "Names"), ("(exprs)", "Exprs"), ("(expr)", "Expr"), ("(row)", "Row"), ("(columns)", "Columns"), ("(window)", "Window"), ("(options)", "Options"), ("(keys)", "Keys"), ("(call)", "CallArgs"), ("(cast)", "Cast"), ("(extract)", "Extract"), ("(where)", "Where"), ("(tables)", "Table"), ("(any)", "Any")),
     "[": (("[any]", "Any"),),
@@ -377,12 +377,19 @@ Array = StarExprs?
 Dict = (Pair (',' Pair)* ','?)? | Pair CompFor+
 Pair = Test ':' Test | '**' Sum
 Set = StarExprs | Gen
-Args = (Arg (',' Arg)* ','?)? | Gen
-Arg = Named | NAME '=' Test | '*' Test | '**' Test
+Args = (ArgList ','?)? | Gen
+ArgList = Positional (',' Positional)* (',' Keyword)* | Keyword (',' Keyword)*
+Positional = Named | '*' Test
+Keyword = NAME '=' Test | '*' Test | '**' Test
 Index = Slice (',' Slice)* ','?
 Slice = Test? ':' Test? (':' Test?)? | StarExpr
-Params = (Param (',' Param)* ','?)?
-Param = NAME (':' Test)? ('=' Test)? | '*' (NAME (':' StarExpr)?)? | '**' NAME (':' Test)? | '/'
+Params = (ParamList ','?)?
+ParamList = Leading | Leading ',' Starred | Starred
+Leading = Plain (',' Plain)* (',' Defaulted)* | Defaulted (',' Defaulted)*
+Plain = NAME (':' Test)? | '/'
+Defaulted = NAME (':' Test)? '=' Test | '/'
+Starred = '*' (NAME (':' StarExpr)?)? (',' NAME (':' Test)? ('=' Test)?)* (',' Gathered)? | Gathered
+Gathered = '**' NAME (':' Test)?
 TargetGroup = Targets
 TargetList = Targets?
 DelGroup = DelTargets?
@@ -455,7 +462,7 @@ MapItem = KEYVALUE | KEYONLY (NESTED | SEQSAME)? | KEYPROPS (NESTED | SEQSAME)?
 Seq = SeqItem+
 SeqItem = DASHSCALAR | DASHONLY NESTED? | DASHMAP NESTED? | DASHBLOCK BLOCKTEXT?
 FlowMap = ((FlowPair ',')* FlowPair ','?)?
-FlowPair = FlowValue (':' FlowValue?)? | ':' FlowValue
+FlowPair = FlowValue (':' FlowValue?)?
 FlowSeq = ((FlowItem ',')* FlowItem ','?)?
 FlowItem = FlowValue (':' FlowValue?)?
 FlowValue = PLAIN | STR | '[seq]' | '{map}' | ANCHOR+ (PLAIN | STR | '[seq]' | '{map}')? | ALIAS

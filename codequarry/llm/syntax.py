@@ -69,25 +69,25 @@ class Language:
         self.groups, self.pieces, self.nl = groups, pieces, nl
         self.piece_memo: dict[tuple, int] = {}
         self.group_memo: dict[tuple, int] = {}
-        name = g.mask("NAME", "IDENT", "ANY", "NAMEISH")
+        name = g.mask("NAME", "IDENT", "WILD", "NAMEISH")
         self.words: dict[str, int] = {}
         for w in reserved.split():
-            self.words[w] = self.id(g.mask(w, "IDENT", "ANY", "NAMEISH"))
+            self.words[w] = self.id(g.mask(w, "IDENT", "WILD", "NAMEISH"))
         for w in contextual.split():
             self.words[w] = self.id(name | g.bit(w))
         for kind, listed in (words or {}).items():
             for w in listed.split():
-                self.words[w] = self.id(g.mask(kind, "IDENT", "ANY"))
+                self.words[w] = self.id(g.mask(kind, "IDENT", "WILD"))
         if fold_case:
-            known = {t for t in g.bits if t.isalpha() and t.isupper()} - {"NAME", "IDENT", "ANY", "NAMEISH", "NUM", "STR", "PARAM", "OP", "UNARY", "CMP"}
+            known = {t for t in g.bits if t.isalpha() and t.isupper()} - {"NAME", "IDENT", "WILD", "NAMEISH", "NUM", "STR", "PARAM", "OP", "UNARY", "CMP"}
             for w in known - set(self.words):
                 self.words[w] = self.id(name | g.bit(w))
         self.punctuation: dict[str, int] = {}
         for kind, listed in (punctuation or {}).items():
             for w in listed.split():
-                self.punctuation[w] = self.id(g.bit(kind if kind else w) | g.bit("ANY"))
+                self.punctuation[w] = self.id(g.bit(kind if kind else w) | g.bit("WILD"))
         self.name = self.id(name)
-        self.num, self.str, self.template, self.regex, self.private = (self.id(g.mask(t, "ANY")) for t in ("NUM", "STR", "TEMPLATE", "REGEX", "PRIVATE"))
+        self.num, self.str, self.template, self.regex, self.private = (self.id(g.mask(t, "WILD")) for t in ("NUM", "STR", "TEMPLATE", "REGEX", "PRIVATE"))
         self.comma, self.semicolon = self.punctuation.get(",", -1), self.punctuation.get(";", -1)
         self.brace = g.bit("{")
 
@@ -122,7 +122,7 @@ class Language:
         known = self.group_memo.get(key)
         if known is not None:
             return known
-        mask = self.grammar.bit("ANY")
+        mask = self.grammar.bit("WILD")
         if whole:
             tokens = collapsed(tuple(t for p in pieces for t in p), self.comma)
             found = set(self.derives(tokens, tuple(dict.fromkeys(s for _, s in self.groups[kind]))))
@@ -139,7 +139,7 @@ class Language:
                 if not first & (self.grammar.bit("case") | self.grammar.bit("default")):
                     every &= ~self.grammar.bit("{switch}")
             mask |= every & sum(self.grammar.bit(t) for t, _ in self.pieces)
-        if mask == self.grammar.bit("ANY") and "[any]" not in self.grammar.bits:
+        if not mask & ~(self.grammar.bit("WILD") | self.brace) and "[any]" not in self.grammar.bits:
             raise Rejected(kind)
         known = self.id(mask)
         if len(self.group_memo) > MEMO:
@@ -149,6 +149,7 @@ class Language:
         return known
 
 
+_CLASS_NAMES = re.compile(r"\b(?:class|enum|record)\s+([A-Za-z_$][\w$]*)")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 _STRING = r""""(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"""
 _BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
@@ -187,14 +188,18 @@ class Braced(Language):
         self.goes_on = word("else", "catch", "finally", "while", "in", "instanceof", "as", "satisfies", "extends", "implements", "from", "of", "is", "permits", "throws")
         self.do = word("do")
         self.quiet = {self.punctuation[x] for x in (";", ",", "=", "=>", ".", "?", ":", "->", "::", "&", "|") if x in self.punctuation}
+        # in Java, a name that a class of the file bears: only these can be constructors
+        self.class_name = self.id(self.masks[self.name] | self.grammar.bit("CLASSNAME")) if java else self.name
+        self.values |= {self.class_name}
         # a `>` that another follows at once: part of a shift, or of closing type arguments
-        self.joined = self.id(self.grammar.mask(">", ">~", "ANY"))
+        self.joined = self.id(self.grammar.mask(">", ">~", "WILD"))
 
     def judge(self, text: str) -> None:
         """Raises Rejected if no dialect accepts the text."""
         match, words, name_id, masks, semicolon = self.match, self.words, self.name, self.masks, self.semicolon
         values, goes_on, quiet, java, punctuation = self.values, self.goes_on, self.quiet, self.java, self.punctuation
         nl_ids: dict[int, int] = {}
+        classes = set(_CLASS_NAMES.findall(text)) if java else ()
         pos, n = 0, len(text)
         if text.startswith("#!") and not java:
             pos = text.find("\n") if "\n" in text else n
@@ -216,6 +221,8 @@ class Braced(Language):
                 continue
             if what == 3:
                 token = words.get(m[3], name_id)
+                if java and token == name_id and m[3] in classes:
+                    token = self.class_name
             elif what == 8:
                 mark = m[8]
                 if mark[0] == "/" and last not in values and not java:
@@ -326,9 +333,9 @@ def mark_is_at(m: re.Match) -> bool:
 class Sql(Language):
     def __init__(self):
         super().__init__(G.SQL, G.SQL_GROUPS, (("{file}", "Stmt"),), G.SQL_RESERVED, fold_case=True, punctuation={"CMP": "<> != <= >= ==  ~* !~ !~* ~~ <=>", "OP": "|| -> ->> #> #>> % & | ^ << >> @> <@ && ?", "": "=> :: = < > + - * / . , ; :"})
-        self.unary = {"~": self.id(self.grammar.mask("UNARY", "CMP", "ANY"))}
+        self.unary = {"~": self.id(self.grammar.mask("UNARY", "CMP", "WILD"))}
         self.punctuation |= self.unary
-        self.param = self.id(self.grammar.mask("PARAM", "ANY"))
+        self.param = self.id(self.grammar.mask("PARAM", "WILD"))
         marks = _alternation(self.punctuation)
         self.match = re.compile(
             rf"(\s+|--[^\n]*|{_BLOCK_COMMENT})|([A-Za-z_\u0080-\uffff][\w$]*)|((?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w]))|([eEnNbBxX]?'(?:[^'\\]|''|\\[\s\S])*'|\$(\w*)\$[\s\S]*?\$\5\$)|(\"(?:[^\"]|\"\")*\"|`[^`]*`)|([(\[])|([)\]])|(\$\d+|:[A-Za-z_]\w*|\?|@@?\w+|\{{\{{[^}}]*\}}\}})|({marks})"
@@ -772,7 +779,7 @@ class Yaml(Language):
         plain = self._comment.sub("", rest)
         if self._inner_colon.search(plain):
             raise Rejected("colon")
-        if first in "-?:" and len(plain) > 1 and plain[1] in " \t":
+        if first in "-?:" and plain[1:2] in ("", " ", "\t"):
             raise Rejected("dash")
         return "PLAIN", end
 

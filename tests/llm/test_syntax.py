@@ -21,12 +21,12 @@ VALID = {
 }
 
 BROKEN = {
-    "python": ["def f(:\n    pass\n", "x = (1\n", "if x:\npass\n", "print 'a'\n", "a = 1 +\n", "try:\n    pass\nx = 1\n", "x = 'a\n", "  x = 1\ny = 2\n", "f() = 1\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = 01\n", "12ab\n", "class A\n    pass\n", "f'{a'\n", "else:\n    pass\n", "function f() { return 1; }\n"],
-    "javascript": ["function f( {", "let x = ;", "const a: string = 1;", "if (a { b() }", "<<<<<<< a\nx()\n=======\ny()\n>>>>>>> b\n", "class A { x() { } ", "a b c", "x = 'a\n';", "def f(): pass", "for (const a of b", "return }", "interface A { b: string }"],
+    "python": ["def f(:\n    pass\n", "x = (1\n", "if x:\npass\n", "print 'a'\n", "a = 1 +\n", "try:\n    pass\nx = 1\n", "x = 'a\n", "  x = 1\ny = 2\n", "f() = 1\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = 01\n", "12ab\n", "class A\n    pass\n", "f'{a'\n", "else:\n    pass\n", "f(a=1, b)\n", "def f(a=1, b): pass\n", "function f() { return 1; }\n"],
+    "javascript": ["function f( {", "let x = ;", "const a: string = 1;", "if (a { b() }", "<<<<<<< a\nx()\n=======\ny()\n>>>>>>> b\n", "class A { x() { } ", "a b c", "x = 'a\n';", "def f(): pass", "for (const a of b", "return }", "x = `${}`", "a > > b", "let private = 1", "await .x", "interface A { b: string }"],
     "typescript": ["type A = ;", "let a: = 1", "class A { private }}", "function f(a: string { }", "public class B { int x; }", "SELECT 1 FROM x;", "enum E { A B }"],
-    "java": ["class A { void f() { int = 1; } }", "class A { void f() { x + 1; } }", "class A {", "public void f() {}}", "class A { int f() { return 1 } }", "import a.b\nclass C {}", "function f() {}"],
+    "java": ["class A { void f() { int = 1; } }", "class A { void f() { x + 1; } }", "class A { void f() { a.b; } }", "class A { void f() { (a, b); } }", "class A {", "public void f() {}}", "class A { int f() { return 1 } }", "import a.b\nclass C {}", "function f() {}"],
     "sql": ["SELECT FROM t;", "CREATE TABLE t (", "INSERT INTO t (a, b VALUES (1, 2);", "SELECT a FROM t WHERE;", "UPDATE t a = 1;", "SELECT 'a FROM t;", "const x = 1;", "SELECT a, FROM t;"],
-    "yaml": ["a: 1\n\tb: 2\n", "a: b: c\n", "a: 'x\n", "a: [1, 2\n", "a: 1\nb\nc: 2\n", "a: 1\n  b: 2\n", "a: @x\n", "<<<<<<< HEAD\na: 1\n=======\n", "{a: 1\n", "a:\n    b: 1\n  c: 2\n"],
+    "yaml": ["a: 1\n\tb: 2\n", "a: b: c\n", "{a: {b: 1 c: 2}}\n", '{"a": "b" "c": 1}\n', "a: -\n", "a: 'x\n", "a: [1, 2\n", "a: 1\nb\nc: 2\n", "a: 1\n  b: 2\n", "a: @x\n", "<<<<<<< HEAD\na: 1\n=======\n", "{a: 1\n", "a:\n    b: 1\n  c: 2\n"],
     "json": ['{"a": 1,}', "{'a': 1}", '{"a": 1', "[1 2]", '{"a": 01}', "{a: 1}", "// c\n{}", '{"a": "x\n"}'],
     "toml": ["a = \n", "[a\n", 'a = "x\n', "a 1\n", "a = 1 2\n", "<<<<<<< a\n"],
     "ini": ["[a\nb = 1\n", "just words\n", "<<<<<<< HEAD\na = 1\n"],
