@@ -24,13 +24,13 @@ def filtered(rows: DataFrame, filters: dict[str, str | None] | None) -> DataFram
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    """Cosine of a vector column with one query, in double precision. Null vectors give null."""
+    """Cosine of a vector column with one query, in double precision. Null vectors and vectors without length give null."""
     q = np.asarray(query, float)
     literal = F.array(*[F.lit(float(x)) for x in q / max(float(np.linalg.norm(q)), 1e-300)])
     double = F.transform(vector, lambda x: x.cast("double"))
     dot = F.aggregate(F.zip_with(double, literal, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, x: s + x * x))
-    return dot / norm
+    return F.try_divide(dot, norm)
 
 
 def score(similarity: Column) -> Column:

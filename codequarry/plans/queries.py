@@ -83,7 +83,7 @@ def _one_file(spark, sf_dir) -> DataFrame:
     """The chunks of the file with the most of them."""
     chunks = current_chunks(spark, sf_dir)
     most = chunks.groupBy("repo", "path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "repo", "path").first()
-    return aggregates.file_chunks(chunks, most["repo"], most["path"])
+    return aggregates.file_chunks(chunks, *((most["repo"], most["path"]) if most else ("", "")))
 
 
 def file_chunks(spark, sf_dir):
@@ -150,7 +150,8 @@ def upsert_dedupe(spark, sf_dir):
 
 
 def _largest_repo(spark, sf_dir) -> str:
-    return aggregates.list_repositories(current_chunks(spark, sf_dir), 1).first()["repo"]
+    most = aggregates.list_repositories(current_chunks(spark, sf_dir), 1).first()
+    return most["repo"] if most else ""
 
 
 def delete_repo(spark, sf_dir):

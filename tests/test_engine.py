@@ -133,6 +133,8 @@ def test_list_index_keeps_recall(spark):
 def test_search_edge_cases(spark):
     _, rows = vectors(spark, 3)
     assert search.batch_top_k(rows, rows.where("false"), 5).count() == 0 and search.batch_top_k(rows.where("false"), rows, 5).count() == 0
+    flat = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 1.0])], "id long, embedding array<float>")
+    assert [r["id"] for r in search.top_k(flat, [1.0, 0.0], 5).collect()] == [3]
     ties = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, embedding array<float>")
     assert [r["id"] for r in search.top_k(ties, [1.0, 0.0], 2).collect()] == [1, 2]
     assert [r["id"] for r in search.min_score(search.top_k(ties, [1.0, 0.0], 3), 0.5).collect()] == [1, 2, 3]
