@@ -221,7 +221,7 @@ def _inner(text: str, named: str | None, depth: int) -> str | None:
 
 # --- the scan -----------------------------------------------------------------------------------------------------------
 _TRIGGER = re.compile(
-    r"(?i:passw|passphrase|pwd|secret|token|apikey|accesskey|bearer|basic |credential|identified by)|(?:[kK]ey|KEY|[aA]uth|AUTH|[dD]sn|DSN|[jJ]wt|JWT|Pass|\bpass|_pass|PASS)(?![a-z])|[aA]uthorization|://|sk_|gh[oprsu]_|xox|AKIA|ASIA|eyJ"
+    r"(?i:passw|passphrase|pwd|secret|token|apikey|accesskey|bearer|basic |credential|identified by)|(?:[kK]ey|KEY|[aA]uth|AUTH|[dD]sn|DSN|[jJ]wt|JWT|Pass|(?<![A-Za-z])pass|PASS)(?![a-z])|[aA]uthorization|://|sk_|gh[oprsu]_|xox|AKIA|ASIA|eyJ"
 )
 # one of these stands, in lower case, in every text with a trigger or a token format
 _QUICK = ("passw", "passphrase", "pwd", "secret", "token", "key", "bearer", "basic ", "credential", "identified by", "auth", "dsn", "jwt", "pass=", "pass:", "pass =", "pass\"", "_pass", "://", "sk_", "pk_", "rk_", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat", "glpat", "npm_", "xox", "akia", "asia", "agpa", "aida", "aroa", "aiza", "sg.", "eyj", "hf_", "dop_v1", "sk-", "adminpass")
@@ -309,49 +309,82 @@ def _inserted(text: str, m: re.Match, add) -> None:
             add(v.start(), [(v.start() + 1, v.end() - 1)], kinds[place])
 
 
-_KEY_NAME = re.compile(r"[A-Za-z_$][\w$.-]*")
+_NAME_START = re.compile(r"[A-Za-z_$]")
+_NAME_SIGNS = frozenset("_$.-")
+_NAME_END = re.compile(r"[\w$.-]*")
+_OPTION = re.compile(r"--(?=[A-Za-z])")
 _key_kind = lru_cache(200_000)(key_kind)
 
 
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every word with a trigger, whole, each once: a name like a credential's always has one."""
+    end = 0
+    for t in _TRIGGER.finditer(text):
+        at = t.start()
+        if at < end:
+            continue
+        start = at
+        while start > end and ((c := text[start - 1]).isalnum() or c in _NAME_SIGNS):
+            start -= 1
+        end = _NAME_END.match(text, at).end()
+        if end > start:
+            yield start, end
+
+
 def _named(text: str, settings: bool, add, depth: int) -> None:
     """Values given to settings, variables, fields and calls that are named like credentials."""
-    upto = -1
-    for t in _TRIGGER.finditer(text):
-        if t.start() < upto:
+    line, seen, comment = -1, 0, False
+    for start, end in _names(text):
+        first = _NAME_START.search(text, start, end)
+        if not first:
             continue
-        begin = max(text.rfind("\n", 0, t.start()) + 1, t.start() - 300, upto)
-        end = text.find("\n", t.start())
-        # a long line is read from trigger to trigger, not as a whole
-        end = upto = min(len(text) if end < 0 else end, t.start() + 300)
-        for k in _KEY_NAME.finditer(text, begin, end):
-            kind = _key_kind(k[0])
-            if not kind:
-                continue
-            m = _NAMED.match(text, k.start()) or _CALL.match(text, k.start())
-            if not m or (m.re is _NAMED and m["comma"] and not (k.start() and text[k.start() - 1] == text[k.end()] and text[k.end()] in "\"'`")):
-                continue
-            if m.re is _CALL and not (kind := _key_kind(k[0].rsplit(".", 1)[-1])):
-                continue
-            value, spans = _joined(m["value"])
-            at = m.start("value")
-            spans = [(at + s, at + e) for s, e in spans]
-            if not spans:
-                continue
-            if _plausible(value, kind):
-                add(at, spans, kind)
-            elif depth < DEPTH and not no_credential(value) and (inner := _inner(value, kind, depth)):
-                add(at, spans, inner, 1)
-        line_start = text.rfind("\n", 0, begin) + 1 if begin and text[begin - 1] != "\n" else begin
-        comment = bool(_COMMENT.match(text, line_start))
-        if settings or comment or "--" in text[begin:end]:
-            for m in _BARE.finditer(text, begin, end):
-                kind = _key_kind(m["option"] or m["key"])
-                if not kind or not (settings or m["dash"] or comment):
-                    continue
-                which = "given" if m["dash"] else "value"
-                value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m[which])
-                if _plausible(value, kind) and (m["dash"] or "(" not in value):
-                    add(m.start(which), [(m.start(which), m.start(which) + len(value))], kind)
+        at = text.rfind("\n", seen, start) + 1
+        seen = start
+        if line < 0 or at:
+            line = at
+            comment = bool(_COMMENT.match(text, line))
+        _given(text, first.start(), end, add, depth)
+        if settings or comment or "--" in text[start:end]:
+            _bare(text, start, first.start(), end, settings, comment, add)
+
+
+def _given(text: str, start: int, end: int, add, depth: int) -> None:
+    """The quoted value that the name at `start` is given."""
+    name = text[start:end]
+    kind = _key_kind(name)
+    if not kind:
+        return
+    m = _NAMED.match(text, start) or _CALL.match(text, start)
+    if not m or (m.re is _NAMED and m["comma"] and not (start and text[start - 1] == text[end] and text[end] in "\"'`")):
+        return
+    if m.re is _CALL and not (kind := _key_kind(name.rsplit(".", 1)[-1])):
+        return
+    value, spans = _joined(m["value"])
+    at = m.start("value")
+    spans = [(at + s, at + e) for s, e in spans]
+    if not spans:
+        return
+    if _plausible(value, kind):
+        add(at, spans, kind)
+    elif depth < DEPTH and not no_credential(value) and (inner := _inner(value, kind, depth)):
+        add(at, spans, inner, 1)
+
+
+def _bare(text: str, start: int, first: int, end: int, settings: bool, comment: bool, add) -> None:
+    """The unquoted values of the name or options in a word; the word bounds where a match starts, not its value."""
+    upto = start
+    for at in sorted({first, *(o.start() for o in _OPTION.finditer(text, start, end))}):
+        m = _BARE.match(text, at) if at >= upto else None
+        if not m:
+            continue
+        upto = m.end()
+        kind = _key_kind(m["option"] or m["key"])
+        if not kind or not (settings or m["dash"] or comment):
+            continue
+        which = "given" if m["dash"] else "value"
+        value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m[which])
+        if _plausible(value, kind) and (m["dash"] or "(" not in value):
+            add(m.start(which), [(m.start(which), m.start(which) + len(value))], kind)
 
 
 def redact(text: str, found: list[Found]) -> str:

@@ -70,3 +70,26 @@ def test_frames(spark):
     assert sorted((r["id"], r["line_no"]) for r in C.credential_lines(df).collect()) == [("a", 1), ("d", 2), ("e", 60_001)]
     assert {r["id"]: r["redacted"] for r in C.redacted_chunks(df).where("id <> 'e'").collect()} == {"a": 'password = "************"', "d": "a: 1\npassword: ************"}
     assert C.credential_lines(df.where("false")).count() == 0
+
+
+def test_long_bare_values_are_blanked_whole():
+    value = "aB3x9Qz7" * 75
+    for text, settings in ((f"API_TOKEN={value}\n", True), (f"# api_token: {value}\nx = 1\n", False), (f"-- psql --password={value} -h a\n", False)):
+        found = C.scan(text, settings)
+        assert len(found) == 1 and C.redact(text, found) == text.replace(value, "*" * len(value))
+
+
+@pytest.mark.parametrize("name", ["access_token", "apiKey", "db2pass"])
+@pytest.mark.parametrize("at", range(280, 312))
+def test_a_name_across_a_window_of_a_long_line_is_found(name, at):
+    text = 'token(a);' + "b(c); " * 60
+    text = text[:at] + f' ; {name} = "Barrel!1628x"; ' + text[at:]
+    found = C.scan(text)
+    assert len(found) == 1 and C.redact(text, found) == text.replace("Barrel!1628x", "*" * 12)
+
+
+def test_every_name_of_a_credential_has_a_trigger():
+    words = C._SECRET_WORDS | {"".join(e) for e in C._SECRET_ENDS} | {"_".join(e) for e in C._SECRET_ENDS} | {"".join(w.title() for w in e) for e in C._SECRET_ENDS}
+    for word in words:
+        for name in (word, word.upper(), word.title(), "db2" + word, "db_" + word, "db" + word.title(), "Å" + word, word + "2"):
+            assert C.key_kind(name) is None or C._TRIGGER.search(name), name
