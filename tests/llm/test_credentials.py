@@ -93,3 +93,23 @@ def test_every_name_of_a_credential_has_a_trigger():
     for word in words:
         for name in (word, word.upper(), word.title(), "db2" + word, "db_" + word, "db" + word.title(), "Å" + word, word + "2"):
             assert C.key_kind(name) is None or C._TRIGGER.search(name), name
+
+
+@pytest.mark.parametrize("text", ['smtp.withPass("Barrel!1628x")', "x = {'dbPass': 'Barrel!1628x'}", 'smtpPass  = "Barrel!1628x"', "curl -u admin:Barrel!1628x host", "ALTER USER a IDENTIFIED  BY 'Barrel!1628x'", 'h = "Basic\tQmFycmVsMTYyOHg6Zm9v"'])
+def test_what_stands_alone_passes_the_early_look(text):
+    assert len(C.scan(text)) == 1
+
+
+def test_early_look_is_implied_by_the_triggers():
+    words = "passw passphrase pwd secret token apikey accesskey bearer credential Key key KEY auth Auth AUTH dsn Dsn DSN jwt Jwt JWT Pass pass PASS authorization Authorization :// sk_ gho_ ghp_ ghr_ ghs_ ghu_ xox AKIA ASIA eyJ".split()
+    for word in [*words, "basic ", "identified by"]:
+        assert C._TRIGGER.search(word) and any(q in word.lower() for q in C._QUICK), word
+    left = C._TRIGGER.sub("", " ".join(words))
+    assert not left.strip()
+
+
+@pytest.mark.parametrize("plain", ['é: x; password = "Barrel!1628x"', '# größe\npassword = "Barrel!1628x"\n', 'ключ password = "Barrel!1628x"'])
+def test_encoded_texts_with_other_letters_are_decoded(plain):
+    text = f'blob = "{b64(plain)}"'
+    found = C.scan(text)
+    assert len(found) == 1 and found[0][3] >= 1 and C.redact(text, found) == f'blob = "{"*" * len(b64(plain))}"'
