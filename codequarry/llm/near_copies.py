@@ -217,14 +217,18 @@ def _found(chunks: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, Da
     return signed.select("s", "id", "h1", "h2").distinct(), cut(_node_pairs(signed, threshold, hot))
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """(s): nodes of texts that differ in more than layout although their sets of runs are equal."""
+    return members.groupBy("s").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("s")
+
+
 def near_pairs(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs at or above the threshold that are not copies but for layout."""
     members, pairs = _found(chunks, threshold, hot)
     members = cut(members)
     side = lambda end: members.select(F.col("s").alias(end), F.col("id").alias(f"id_{end}"), F.col("h1").alias(f"h1_{end}"), F.col("h2").alias(f"h2_{end}"))
     # equal sets of runs are pairs too, unless the texts are layout copies
-    several = members.groupBy("s").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
-    nodes = pairs.unionByName(several.select(F.col("s").alias("a"), F.col("s").alias("b")))
+    nodes = pairs.unionByName(_several(members).select(F.col("s").alias("a"), F.col("s").alias("b")))
     both = nodes.join(side("a"), "a").join(side("b"), "b").where("h1_a <> h1_b or h2_a <> h2_b")
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
 
@@ -236,7 +240,10 @@ def near_groups(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300)
     members = cut(members)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.groupBy(F.col("a").alias("s")).agg(F.count("*").alias("links"))
-    parts = connected_components(pairs).withColumnRenamed("node", "s")
+    linked = connected_components(pairs).withColumnRenamed("node", "s")
+    # different texts of one set of runs are a group of their own where no other set is near
+    alone = _several(members).join(linked, "s", "left_anti")
+    parts = cut(linked.unionByName(alone.select("s", F.col("s").alias("component"))))
     least = members.groupBy("s").agg(F.min("id").alias("least"))
     names = parts.join(least, "s").groupBy("component").agg(F.min("least").alias("group_id"))
-    return members.join(parts, "s").join(names, "component").join(links, "s").select("id", "group_id", "links").distinct()
+    return members.join(parts, "s").join(names, "component").join(links, "s", "left").select("id", "group_id", F.coalesce("links", F.lit(0)).alias("links")).distinct()

@@ -89,3 +89,13 @@ def test_sketch_estimates_high_similarity():
         sketches = N.odd_sketches(N.min_samples(np.concatenate(sets), offsets)).view(np.uint64)
         odd = np.bitwise_count(sketches[0::2] ^ sketches[1::2]).sum(axis=1)
         assert abs(N.sketch_similarity(odd).mean() - j) < 0.04
+
+
+def test_groups_hold_texts_that_differ_only_in_how_often_a_line_is_repeated(spark):
+    line = " ".join(f"w{k}" for k in range(12)) + "\n"
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [("a", line * 4), ("b", line * 7), ("c", line * 4), ("d", other), ("e", other), ("f", " ".join(f"x{k}" for k in range(60))), ("g", " ".join(f"x{k}" for k in range(59)))]
+    df = frame(spark, rows)
+    pairs = {tuple(r) for r in N.near_pairs(df).collect()}
+    assert pairs == {("a", "b"), ("b", "c"), ("f", "g")}
+    assert {tuple(r) for r in N.near_groups(df).collect()} == {("a", "a", 0), ("b", "a", 0), ("c", "a", 0), ("f", "f", 1), ("g", "f", 1)}
