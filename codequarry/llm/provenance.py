@@ -51,9 +51,12 @@ _KEYWORDS = frozenset(
 )
 
 
+def _literals(language: str) -> re.Pattern:
+    return _HASHED if language in ("python", "yaml", OTHER) else _DASHED if language == "sql" else _SLASHED
+
+
 def without_literals(text: str, language: str) -> str:
-    pattern = _HASHED if language in ("python", "yaml", OTHER) else _DASHED if language == "sql" else _SLASHED
-    return pattern.sub(lambda m: '""' if m[0][0] in "\"'`" else " ", text)
+    return _literals(language).sub(lambda m: '""' if m[0][0] in "\"'`" else " ", text)
 
 
 def identifiers(code: str) -> Counter:
@@ -127,7 +130,6 @@ def name_models(files: DataFrame) -> dict[str, NameModel]:
 
 
 # --- signs in a file's own words and place ------------------------------------------------------------------------------
-_HEAD = 1200  # characters of the header in which a tool or an origin names itself; the scores read the whole file
 _GENERATED = re.compile(
     r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:on|by|from|file)|\b(?:code|file|class|module|sources?) (?:is |was |has been )?(?:auto(?:matically)?[- ])?generated (?:by|from|with)\b"
     r"|\bautomatically generated\b|^\W*generated (?:by|from|with|on)\b|\bdo not (?:edit|modify|change)(?: (?:by hand|manually|directly|this file))?\s*(?:[.!;*\n]|$)|\bdo not change by hand|\bplease do not (?:edit|modify)",
@@ -145,6 +147,57 @@ _TOOL_PLACE = re.compile(r"(?:^|/)(?:generated|__generated__|auto[_-]?generated|
 _BUILD_PLACE = re.compile(r"(?:^|/)(?:dist|build|out|target|esm|cjs|public|static|assets|bundle|lib)/", re.I)
 
 
+# comments of settings and of languages without a model of their own
+_NOTES = re.compile(rf"/\*[\s\S]*?\*/|<!--[\s\S]*?-->|^[ \t]*(?:\#|//|--|;|%)[^\n]*|\#[^\n]*|{_STRINGS}", re.M)
+_ANNOTATION = re.compile(r"^@(?:[\w.]+\.)?Generated\b", re.M)
+_SENTENCE = re.compile(r"(?i)(?:^|[.!:_])\W*(?:(?:note|notice|warning|attention|nb)\W+)?(?:this(?: \w+){0,2}|the following)?\W*$")
+
+
+def own_words(text: str, language: str) -> str:
+    """A file's comments at top level, wherever they stand: at the start of a line, outside brackets or before all code. Python's
+    text statements count too, and, as JSON has no comments, the strings of its outer object. Code between them becomes `_`."""
+    out, last, depth, bare = [], 0, 0, True
+    for m in (_NOTES if language == OTHER else _literals(language)).finditer(text):
+        code = text[last : m.start()]
+        last = m.end()
+        depth += sum(map(code.count, "([{")) - sum(map(code.count, ")]}"))
+        bare = bare and not code.strip()
+        first = text[text.rfind("\n", 0, m.start()) + 1 : m.start()] in ("", "r", "R", "u", "U", "\ufeff")
+        if m[0].lstrip()[0] in "\"'`":
+            take = depth <= 1 if language == "json" else first and language == "python"
+            bare = bare and take
+        else:
+            take = bare or first or (depth <= 0 and language not in ("python", "yaml", OTHER))
+        if code.strip():
+            out.append("_")
+        if take:
+            out.append(m[0])
+    return "\n".join(out)
+
+
+def generators_note(words: str) -> str:
+    """clear: a comment says that the file is generated; weak: it asks not to edit, or speaks of generated things; else nothing."""
+    found = ""
+    for m in _GENERATED.finditer(words):
+        note = m[0].lower()
+        if "@generated" in note or note.startswith("<auto"):
+            return "clear"
+        if "generated" in note and _SENTENCE.search(words[max(0, m.start() - 200) : m.start()]):
+            return "clear"
+        found = "weak"
+    return found
+
+
+def longest_run(text: str, language: str) -> str:
+    """The longest stretch of code without comments."""
+    best, last = "", 0
+    for m in _literals(language).finditer(text):
+        if m[0][0] not in "\"'`":
+            best = max(best, text[last : m.start()].strip(), key=len)
+            last = m.end()
+    return max(best, text[last:].strip(), key=len)
+
+
 def name_style(path: str | None) -> str:
     """The naming style of a file's name."""
     stem = (path or "").rsplit("/", 1)[-1].split(".")[0].strip("_")
@@ -226,8 +279,13 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
     names = identifiers(code)
     model = models.get(language)
     lines, diversity = line_shapes(code, language)
-    head = text[:_HEAD]
-    low = head.lower()
+    low = text.lower()
+    generated = "generated" in low or "do not " in low
+    origin = "ed from" in low or "taken from" in low or "this file is" in low or "(c)" in low or "/*!" in low
+    words = own_words(text, language) if generated or origin else ""
+    note = generators_note(words) if generated else ""
+    if language == "java" and note != "clear" and "generated" in low and _ANNOTATION.search(code):
+        note = "clear"
     per_line = len(text) / (text.count("\n") + 1)
     listed = list(names)
     tool = any(w in text for w in ("__esModule", "sourceMappingURL", "webpack", "lockfileVersion"))
@@ -241,9 +299,9 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
         "diversity": diversity,
         "affixes": affix_share(names) if diversity * lines <= LIKELY_SHAPES + 0.5 else 0.0,
         "literals": literal_share(text, language),
-        "says_generated": ("generated" in low or "do not " in low) and bool(_GENERATED.search(head)),
+        "says_generated": bool(note),
         "tool_output": tool and bool(_TOOL_OUTPUT.search(text)),
-        "origin": (" from " in low or "this file is" in low or "(c)" in low or "/*!" in low) and bool(_ORIGIN.search(head)),
+        "origin": origin and bool(_ORIGIN.search(words)),
         "place": place_of(path),
     }
 

@@ -62,3 +62,29 @@ def test_model_tells_mangled_names_from_spoken_ones():
         grams[c] = grams.get(c, 0) + 1
     model = P.NameModel(grams)
     assert model.entropy(["qxz", "zvq", "jkw"]) > model.entropy(["mergeUser", "loadPrice"]) + 1
+
+LICENCE = "/*\n" + " * Permission is granted to whoever holds a copy of this text, without any warranty.\n" * 30 + " */\n"
+
+
+def judged(text, path="src/part.ts", extension=".ts"):
+    return P.verdict(P.features(text, path, extension, {}))
+
+
+def test_origins_and_notes_count_wherever_their_comment_stands():
+    hand = HAND.format(a="toolRun", b="y", n=2)
+    small = "export const a = 1;\n" * 3
+    origin = "// copied from acme at v1.2\n"
+    for text in (LICENCE + origin + hand, hand * 3 + origin, hand + "/* vendored from acme at 1f2e3d4c5b */ " + hand):
+        assert judged(text) == "vendored"
+    varied = "import os\nfrom os import path\nX = path.sep\nfor a in X:\n    print(a)\nwhile X:\n    break\nclass A(B):\n    y: int = 1\ndef f(a, b):\n    return a + b\nassert f(1, 2)\n" + f"z = [{', '.join(['1'] * 9)}]\n" * 90
+    assert judged(varied, "a/b.py", ".py") is None
+    assert judged(varied + "# adapted from acme 1.2\nx = os.sep\n", "a/b.py", ".py") == "vendored"
+    assert judged(LICENCE + "// Code generated by acme. DO NOT EDIT.\n" + small) == "generated"
+    assert judged(small + "x();\n" * 2 + LICENCE + "// This file was automatically generated by acme.\n") == "generated"
+
+
+def test_words_inside_functions_and_strings_are_no_note():
+    body = 'function f() {\n  // copied from acme at v1.2\n  const a = "// copied from acme at v1.2";\n}\n'
+    assert judged(body) is None and judged('const banner = "Code generated by acme. DO NOT EDIT.";\n') is None
+    assert judged("class A {\n  // Auto-generated method stub\n  void f() { }\n}\n", "src/A.java", ".java") is None
+    assert judged('{"note": "Code generated by acme. DO NOT EDIT.", "a": {"b": 1}}', "config/a.json", ".json") == "generated"
