@@ -287,19 +287,28 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
     if language == "java" and note != "clear" and "generated" in low and _ANNOTATION.search(code):
         note = "clear"
     per_line = len(text) / (text.count("\n") + 1)
+    # a long line among many short ones of comments: the longest run of code is judged by itself
+    if per_line < MANGLED_LINE and max(map(len, text.split("\n"))) >= MANGLED_LINE:
+        run = longest_run(text, language)
+        per_line = max(per_line, len(run) / (run.count("\n") + 1))
     listed = list(names)
+    short = sum(len(x) <= 3 for x in listed) / len(listed) if listed else 0.0
+    mangled = per_line >= MANGLED_LINE or (len(listed) >= MANGLED_NAMES and short >= MANGLED_SHORT)
     tool = any(w in text for w in ("__esModule", "sourceMappingURL", "webpack", "lockfileVersion"))
     return {
         "language": language,
         # the costlier scores only where a verdict can depend on them
-        "entropy": model.entropy(listed) if model and listed and per_line >= MANGLED_LINE else 0.0,
-        "short": sum(len(x) <= 3 for x in listed) / len(listed) if listed else 0.0,
+        "entropy": model.entropy(listed) if model and listed and mangled else 0.0,
+        "short": short,
+        "names": len(listed),
         "per_line": per_line,
         "lines": lines,
         "diversity": diversity,
-        "affixes": affix_share(names) if diversity * lines <= LIKELY_SHAPES + 0.5 else 0.0,
+        "affixes": affix_share(names) if diversity * lines <= LIKELY_SHAPES + 0.5 or diversity <= LIKELY_DIVERSITY else 0.0,
         "literals": literal_share(text, language),
         "says_generated": bool(note),
+        # JSON has strings for comments, which are about data as well
+        "clearly_generated": note == "clear" and language != "json",
         "tool_output": tool and bool(_TOOL_OUTPUT.search(text)),
         "origin": origin and bool(_ORIGIN.search(words)),
         "place": place_of(path),
@@ -307,9 +316,12 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
 
 
 # Thresholds, set on hand-written files: their names stay under 3.0 bits a character except in tiny or broken files, their
-# lines under 150 characters on average, and from ten lines on they have six line shapes or more.
-MANGLED_BITS, MANGLED_SHORT, MANGLED_LINE = 3.2, 0.2, 200
+# lines under 150 characters on average, and from ten lines on they have six line shapes or more. Of 30 names or more (sf0.1) at
+# most 0.15 are short, in minified files 0.27 or more; a broken file of 31 names had 0.23, so 60 are asked for. Up to 222 lines they have 0.16 shapes a line or more, generated files of
+# over 80 lines at most 0.02.
+MANGLED_BITS, MANGLED_SHORT, MANGLED_LINE, MANGLED_NAMES = 3.2, 0.2, 200, 60
 TEMPLATE_LINES, TEMPLATE_SHAPES, LIKELY_SHAPES, LIKELY_AFFIXES = 10, 3, 6, 0.2
+TEMPLATE_DIVERSITY, LIKELY_DIVERSITY = 0.02, 0.06
 DATA_SHARE = 0.5
 
 
@@ -321,13 +333,16 @@ def verdict(f: dict) -> str | None:
         return "data"
     if f["per_line"] >= MANGLED_LINE and (f["entropy"] >= MANGLED_BITS or f["short"] >= MANGLED_SHORT) and f["language"] not in ("json", "yaml"):
         return "minified"
-    if code and f["lines"] >= TEMPLATE_LINES and shapes <= TEMPLATE_SHAPES + 0.5:
+    # wrapped lines: both signs together
+    if f["names"] >= MANGLED_NAMES and f["entropy"] >= MANGLED_BITS and f["short"] >= MANGLED_SHORT and (code or f["language"] == "sql"):
+        return "minified"
+    if code and f["lines"] >= TEMPLATE_LINES and (shapes <= TEMPLATE_SHAPES + 0.5 or f["diversity"] <= TEMPLATE_DIVERSITY):
         return "generated"
-    if code and f["lines"] >= TEMPLATE_LINES and shapes <= LIKELY_SHAPES + 0.5 and (f["affixes"] >= LIKELY_AFFIXES or f["says_generated"] or f["tool_output"] or f["place"] == "tool"):
+    if code and f["lines"] >= TEMPLATE_LINES and (shapes <= LIKELY_SHAPES + 0.5 or f["diversity"] <= LIKELY_DIVERSITY) and (f["affixes"] >= LIKELY_AFFIXES or f["says_generated"] or f["tool_output"] or f["place"] == "tool"):
         return "generated"
     if f["place"] == "foreign" or f["origin"]:
         return "vendored"
-    if f["tool_output"] or (f["place"] == "tool" and f["diversity"] <= 0.5) or (f["says_generated"] and (f["diversity"] <= 0.5 or f["lines"] < TEMPLATE_LINES)):
+    if f["clearly_generated"] or f["tool_output"] or (f["place"] == "tool" and f["diversity"] <= 0.5) or (f["says_generated"] and (f["diversity"] <= 0.5 or f["lines"] < TEMPLATE_LINES)):
         return "generated"
     return "style?" if f["place"] == "perhaps" else None
 

@@ -88,3 +88,34 @@ def test_words_inside_functions_and_strings_are_no_note():
     assert judged(body) is None and judged('const banner = "Code generated by acme. DO NOT EDIT.";\n') is None
     assert judged("class A {\n  // Auto-generated method stub\n  void f() { }\n}\n", "src/A.java", ".java") is None
     assert judged('{"note": "Code generated by acme. DO NOT EDIT.", "a": {"b": 1}}', "config/a.json", ".json") == "generated"
+
+
+def mangled_code():
+    r = random.Random(3)
+    names = sorted({"".join(r.choice("qxzjkwvy") for _ in range(r.randint(2, 3))) for _ in range(200)})
+    return "".join(f"function {a}({b},{c}){{return {b}.{c}({a},{k})}}" for k, (a, b, c) in enumerate(zip(names, names[7:], names[19:], strict=False)))
+
+
+def test_mangled_names_are_judged_whatever_the_lines():
+    codes, _ = P.gram_codes(["loadUserOrder", "saveCacheBatch", "mergeEventGroup", "renderPrice", "parseFilter"] * 20)
+    models = {"script": P.NameModel({c: codes.tolist().count(c) for c in set(codes.tolist())})}
+    reason = lambda text: P.verdict(P.features(text, "src/part.js", ".js", models))
+    code = mangled_code()
+    assert reason(code) == "minified" and reason(code.replace("}function", "}\nfunction").replace(";", ";\n")) == "minified"
+    assert reason(LICENCE + "//\n" * 60 + code[: code.rindex("}function", 0, 3900) + 1]) == "minified"
+    assert reason(HAND.format(a="loadOrder", b="y", n=2)) is None
+
+
+def test_line_shapes_count_against_the_lines():
+    forms = ("export const {n} = 1;", "export function {n}(): void {{", "  return call({n}, 2);", "}}", "export type {n} = string;", "  if (x.{n}) return;", "  x.{n} = [1, 2];", "let {n};")
+    text = "\n".join(form.format(n=f"part{k}") for k in range(250) for form in forms)
+    assert judged(text) == "generated"
+
+
+def test_a_clear_note_decides_whatever_the_shapes():
+    hand = HAND.format(a="toolRun", b="y", n=2)
+    assert judged(hand) is None
+    for note in ("// Code generated by acme. DO NOT EDIT.\n", "/*\n * This file is automatically generated by acme.\n */\n", "// @generated\n"):
+        assert judged(note + hand) == "generated"
+    for talk in ("// Please do not edit.\n", "// Runs the code generated by the planner.\n", "// Keeps the ids that are\n// generated by the store.\n"):
+        assert judged(talk + "a(1);\n" + hand.replace("total", "sum")) is None
