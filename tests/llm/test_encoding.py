@@ -161,9 +161,10 @@ def test_single_byte_mixups_are_found(was, seen, text):
     assert repaired or left
 
 
-def test_marks_that_became_letters_are_found_by_the_documents(learnt):
-    garbled = "It’s the caller’s job to close the “first” one, don’t ask.".encode("cp1252").decode("mac_roman")
-    assert learnt.repair(garbled)[0] == "It’s the caller’s job to close the “first” one, don’t ask."
+def test_marks_that_became_letters_are_found_by_the_documents():
+    text = "It’s the caller’s job to close the “first” one, don’t ask."
+    cost = E.Cost({key: 2000 for key in E.signs_of(text)}, 6000)
+    assert cost.repair(text.encode("cp1252").decode("mac_roman"))[0] == text
 
 
 def test_lost_bytes_are_reported_but_not_changed():
