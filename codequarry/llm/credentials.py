@@ -6,9 +6,10 @@ all else, line breaks and lengths included, untouched.
 How: rules for what carries a credential (named settings and calls, SQL inserts, authorization values, connection strings and
 hook addresses, token formats, private key blocks) run over the text; string literals put together from pieces are judged
 joined. Literals and long tokens that are base64, hex, percent or backslash encoded are decoded and scanned again, layer
-by layer; decoded bytes that are a key container (PKCS#1, PKCS#8, SEC1, OpenSSH, PKCS#12) are recognised by parsing their
-binary grammar; what is found inside redacts the enclosing encoded literal. Chunks are independent: one scan, without a shuffle
-but for repeated rows.
+by layer until nothing decodes any more (each layer is shorter than the one around it, so that ends by itself); what a named value
+decodes to is judged in its place. Decoded bytes that are a private key (PKCS#1, DSA, PKCS#8, SEC1, OpenSSH, PKCS#12) are recognised by
+parsing their binary grammar to its end; what is found inside redacts the enclosing encoded literal. Chunks are independent: one
+scan, without a shuffle but for repeated rows.
 
 Defined cases: null texts or ids give no row; a null path is treated as code; repeated rows of an id count once;
 placeholders, masked or empty values, references to variables or vaults, hashes, checksums, ids, public keys, images and
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from codequarry.session import spread
 
-DEPTH = 4
 SETTINGS = (".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".properties", ".cfg", ".conf", ".npmrc", ".pypirc", ".netrc")
 
 _LITERAL = r""""{3}(?:[^"\\]|\\.|"(?!""))*"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
@@ -45,7 +45,7 @@ _CALL = re.compile(rf"(?P<key>[A-Za-z_$][\w$.]*)\(\s*(?P<value>{_PIECES})")
 _COMMENT = re.compile(r"\s*(?://|#|\*|--|/\*|;)")
 
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_SECRET_WORDS = frozenset("password passwd pwd passphrase secret token jwt apikey credential credentials authtoken accesskey secretkey passwort".split())
+_SECRET_WORDS = frozenset("password passwd pwd pw passphrase secret token jwt apikey credential credentials authtoken accesskey secretkey passwort".split())
 _SECRET_ENDS = (("pass",), ("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("master", "key"), ("service", "key"), ("account", "key"), ("shared", "key"), ("auth", "header"), ("authorization",), ("auth",), ("bearer",), ("dsn",), ("access", "key", "id"), ("payment", "key"))
 # what such a name is about when it ends like this is no secret itself
 _NO_SECRET = frozenset(
@@ -69,7 +69,7 @@ _REFERENCE = re.compile(
     r"^(?:<[^>]*>|\$\{.*\}|\$[A-Za-z_]\w*|\$\(.*\)|\{\{.*\}\}|\$\{\{.*|%\(?\w+\)?s?|%[A-Z_]+%|#\{.*\}|@\{.*\}|(?:vault|ssm|kms|env|ref|arn|secret|secrets|file|op|sops|awssm|gcp|projects)[:/].*|ENC\[.*|\w+\(.*\)|(?:process\.env|os\.environ|self\.|config\.|settings\.|System\.).*)$"
 )
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:redacted|\[?redacted\]?|change[-_ ]?(?:me|it|this)?|todo|tbd|none|null|nil|true|false|undefined|n/?a|unset|empty|hidden|masked|removed|(?:my|your|the|some|a|an|insert|enter|put|add)[-_ ].*|(?:example|placeholder|dummy|sample|fake|test|secret|password|passwd|token|key|string|value|pass)(?:[-_ ]?(?:password|token|key|secret|value|only|here|\d{1,3}))?|\.{2,}|-+|_+|\?+)$"
+    r"(?i)^(?:redacted|\[?redacted\]?|change[-_ ]?(?:me|it|this)?|todo|tbd|none|null|nil|true|false|undefined|n/?a|unset|empty|hidden|masked|removed|(?:your|insert|enter|put|add)[-_ ].*|(?:my|the|some|an?)[-_ ](?:own[-_ ]|new[-_ ]|super[-_ ]|very[-_ ])*(?:secrets?|passwords?|passwd|passphrase|tokens?|keys?|api|values?|strings?|credentials?|access|auth|client|placeholder|example)\b.*|(?:example|placeholder|dummy|sample|fake|test|secret|password|passwd|token|key|string|value|pass)(?:[-_ ]?(?:password|token|key|secret|value|only|here|\d{1,3}))?|\.{2,}|-+|_+|\?+)$"
 )
 _HASHED = re.compile(r"^(?:\$2[aby]\$|\$argon2|\$[156]\$|\{SHA|\{SSHA|pbkdf2|scrypt:|sha(?:1|256|384|512)[-:$]|md5[:$])")
 
@@ -100,7 +100,7 @@ def key_kind(name: str) -> str | None:
         return None
     for p in parts:
         if p in _SECRET_WORDS:
-            return "password" if p in ("password", "passwd", "pwd", "passphrase", "passwort") else "secret"
+            return "password" if p in ("password", "passwd", "pwd", "pw", "passphrase", "passwort") else "secret"
     return None
 
 
@@ -114,9 +114,25 @@ def _joined(value: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
+# words of prompts, labels and messages; a passphrase of several words has none of them
+_PROSE = frozenset(
+    "a an and are as at be but by can cannot change check click confirm contact create current does enter expired failed first for forgot forgotten from get has have hint if in incorrect input invalid is it least link login mail "
+    "match matches may minimum missing must need new no not of old on one only optional or our passphrase passwd password passwords please provide repeat required reset same secret send set show should sign strong the their this to "
+    "token too try type use user used using valid value was weak we when will with without wrong you your".split()
+)
+
+
+def _passphrase(value: str) -> bool:
+    """Whether a quoted value of several words is a passphrase and not something to be read."""
+    words = value.split(" ")
+    return all(re.fullmatch(r"[\w!@#$%^&*+~-]+", w) for w in words) and not any(w.lower().strip("-") in _PROSE for w in words) and not (value[0].isupper() and value[1:] == value[1:].lower() and not re.search(r"\d", value))
+
+
 def _plausible(value: str, kind: str) -> bool:
-    if no_credential(value) or re.search(r"\s", value):
+    if no_credential(value):
         return False
+    if re.search(r"\s", value):
+        return kind == "password" and _passphrase(value)
     if kind == "password":
         return True
     # a secret, token or key is no plain word, path or dotted name
@@ -153,31 +169,77 @@ def _der(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= len(data) else None
 
 
+def _elements(data: bytes, start: int, end: int) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of all DER elements that fill data[start:end] exactly; None if they don't."""
+    out, at = [], start
+    while at < end:
+        inner = _der(data, at)
+        if not inner or inner[2] > end:
+            return None
+        out.append((inner[0], data[inner[1] : inner[2]]))
+        at = inner[2]
+    return out
+
+
+def _openssh(data: bytes) -> bool:
+    """The OpenSSH grammar: cipher, kdf and its options, the number of keys, each public key, and the private part, all with
+    their lengths before them; an unencrypted private part begins with two equal check numbers."""
+    at = len(b"openssh-key-v1\0")
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    cipher, kdf, options = field(), field(), field()
+    if not cipher or not kdf or options is None or not (cipher + kdf).isascii() or at + 4 > len(data):
+        return False
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(keys):
+        if not field():
+            return False
+    private = field()
+    return bool(keys and private) and at == len(data) and (cipher != b"none" or private[:4] == private[4:8])
+
+
+# fixed values: the first bytes of object identifiers of password-based encryption, and of PKCS#7 contents
+_PBE, _PKCS7 = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c"), b"\x2a\x86\x48\x86\xf7\x0d\x01\x07"
+
+
+def _oid(sequence: bytes) -> bytes:
+    """The object identifier that a sequence begins with, or nothing."""
+    first = _der(sequence)
+    return sequence[first[1] : first[2]] if first and first[0] == 0x06 else b""
+
+
 def key_container(data: bytes) -> str | None:
     """The kind of private key container that the bytes are, by its grammar."""
     if data.startswith(b"openssh-key-v1\0"):
-        return "OpenSSH"
+        return "OpenSSH" if _openssh(data) else None
     outer = _der(data)
-    if not outer or outer[0] != 0x30 or outer[2] < len(data) - 2:
+    if not outer or outer[0] != 0x30 or outer[2] < len(data.rstrip(b"\r\n")):
         return None
-    kinds, at = [], outer[1]
-    while at < outer[2] and len(kinds) < 12:
-        inner = _der(data, at)
-        if not inner:
-            return None
-        kinds.append((inner[0], data[inner[1] : inner[2]]))
-        at = inner[2]
-    tags = [k for k, _ in kinds]
-    if tags[:1] != [0x02]:
-        return "PKCS#8" if tags == [0x30, 0x04] and len(kinds[1][1]) > 64 else None
-    version = int.from_bytes(kinds[0][1], "big")
-    if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
+    parts = _elements(data, outer[1], outer[2])
+    if not parts:
+        return None
+    tags = [tag for tag, _ in parts]
+    if tags == [0x30, 0x04]:
+        return "PKCS#8" if _oid(parts[0][1]).startswith(_PBE) else None
+    if tags[0] != 0x02 or len(tags) < 2:
+        return None
+    version = int.from_bytes(parts[0][1], "big")
+    if version in (0, 1) and tags[1:3] == [0x30, 0x04] and _oid(parts[1][1]):
         return "PKCS#8"
-    if version == 1 and tags[1:2] == [0x04]:
+    if version == 1 and tags[1] == 0x04 and set(tags[2:]) <= {0xA0, 0xA1}:
         return "SEC1"
-    if version in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {0x02}:
+    if version in (0, 1) and set(tags) <= {0x02, 0x30} and len(tags) >= 9 and set(tags[:9]) == {0x02} and len(parts[1][1]) >= 32:
         return "PKCS#1"
-    return "PKCS#12" if version == 3 and tags[1:2] == [0x30] else None
+    if version == 0 and tags == [0x02] * 6 and len(parts[1][1]) >= 32:
+        return "DSA"
+    return "PKCS#12" if version == 3 and tags[1] == 0x30 and _oid(parts[1][1]).startswith(_PKCS7) else None
 
 
 def decoded(kind: str, text: str) -> bytes | None:
@@ -200,31 +262,54 @@ def decoded(kind: str, text: str) -> bytes | None:
         return None
 
 
-def _inner(text: str, named: str | None, depth: int) -> str | None:
-    """The kind of credential inside an encoded text, if any; `named`: the kind its setting's name promises."""
+def _readable(data: bytes) -> str | None:
+    """Decoded bytes as text, if they are text."""
+    try:
+        plain = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return plain if plain.isprintable() or "".join(plain.split()).isprintable() else None
+
+
+_PADDED = re.compile(r"(?:[A-Za-z0-9+/]{4}){2,}[A-Za-z0-9+/]{2}(?:==|[A-Za-z0-9+/]=)")
+
+
+def _peeled(value: str) -> tuple[str, int, str | None]:
+    """(what a whole value decodes to, the layers taken off, the kind of a key container inside)."""
+    layers = 0
+    while True:
+        token = next((m for m in encoded_tokens(value) if m[0] == value), None)
+        data = decoded(token.lastgroup, value) if token else decoded("base64", value) if _PADDED.fullmatch(value) else None
+        if not data or len(data) < 6:
+            return value, layers, None
+        if container := key_container(data):
+            return value, layers + 1, container
+        plain = _readable(data)
+        if plain is None or plain == value:
+            return value, layers, None
+        value, layers = plain, layers + 1
+
+
+def _inner(text: str, depth: int) -> tuple[str, int] | None:
+    """(kind, layers) of a credential inside an encoded text, if any."""
     for m in encoded_tokens(text):
         data = decoded(m.lastgroup, m[0])
         if not data or len(data) < 6:
             continue
-        if len(data) > 60 and (kind := key_container(data)):
-            return f"private key ({kind})"
-        try:
-            plain = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not plain.isprintable() and not "".join(plain.split()).isprintable():
-            continue
-        if found := scan(plain, settings=True, depth=depth + 1):
-            return found[0][2]
+        if kind := key_container(data):
+            return f"private key ({kind})", depth + 1
+        plain = _readable(data)
+        if plain and plain != m[0] and (found := scan(plain, settings=True, depth=depth + 1)):
+            return found[0][2], found[0][3]
     return None
 
 
 # --- the scan -----------------------------------------------------------------------------------------------------------
 _TRIGGER = re.compile(
-    r"(?i:passw|passphrase|pwd|secret|token|apikey|accesskey|bearer|basic |credential|identified by)|(?:[kK]ey|KEY|[aA]uth|AUTH|[dD]sn|DSN|[jJ]wt|JWT|Pass|(?<![A-Za-z])pass|PASS)(?![a-z])|[aA]uthorization|://|sk_|gh[oprsu]_|xox|AKIA|ASIA|eyJ"
+    r"(?i:passw|passphrase|pwd|secret|token|apikey|accesskey|bearer|basic |credential|identified by)|(?:[kK]ey|KEY|[aA]uth|AUTH|[dD]sn|DSN|[jJ]wt|JWT|Pass|(?<![A-Za-z])pass|PASS|[pP]w|PW)(?![a-z])|[aA]uthorization|://|sk_|gh[oprsu]_|xox|AKIA|ASIA|eyJ"
 )
 # one of these stands, in lower case, in every text with a trigger or a match of the patterns above (tested)
-_QUICK = ("pwd", "secret", "token", "key", "bearer", "basic", "credential", "identified", "auth", "dsn", "jwt", "pass", "://", "sk_", "pk_", "rk_", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat", "glpat", "npm_", "xox", "akia", "asia", "agpa", "aida", "aroa", "aiza", "sg.", "eyj", "hf_", "dop_v1", "sk-", "curl")
+_QUICK = ("pw", "secret", "token", "key", "bearer", "basic", "credential", "identified", "auth", "dsn", "jwt", "pass", "://", "sk_", "pk_", "rk_", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat", "glpat", "npm_", "xox", "akia", "asia", "agpa", "aida", "aroa", "aiza", "sg.", "eyj", "hf_", "dop_v1", "sk-", "curl")
 
 Found = tuple[int, list[tuple[int, int]], str, int]
 
@@ -232,11 +317,9 @@ Found = tuple[int, list[tuple[int, int]], str, int]
 def scan(text: str, settings: bool = False, depth: int = 0) -> list[Found]:
     """(start, spans to blank, kind, layers) of every credential, in order, without overlaps."""
     found: list[Found] = []
-    if depth > DEPTH:
-        return found
 
-    def add(start: int, spans: list[tuple[int, int]], kind: str, layers: int = 0) -> None:
-        found.append((start, spans, kind, depth + layers))
+    def add(start: int, spans: list[tuple[int, int]], kind: str, layers: int | None = None) -> None:
+        found.append((start, spans, kind, depth if layers is None else layers))
 
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
@@ -268,13 +351,11 @@ def scan(text: str, settings: bool = False, depth: int = 0) -> list[Found]:
             _inserted(text, m, add)
         _named(text, settings, add, depth)
     # encoded layers that no setting's name gives away
-    if depth < DEPTH:
-        for m in encoded_tokens(text):
-            if text[max(0, m.start() - 8) : m.start()].endswith("base64,") or any(s <= m.start() < e for f in found for s, e in f[1]):
-                continue
-            data = decoded(m.lastgroup, m[0])
-            if data and len(data) >= 8 and (kind := _inner(m[0], None, depth)):
-                add(m.start(), [m.span()], kind, 1)
+    for m in encoded_tokens(text):
+        if text[max(0, m.start() - 8) : m.start()].endswith("base64,") or any(s <= m.start() < e for f in found for s, e in f[1]):
+            continue
+        if inner := _inner(m[0], depth):
+            add(m.start(), [m.span()], *inner)
     return _disjoint(found)
 
 
@@ -345,7 +426,7 @@ def _named(text: str, settings: bool, add, depth: int) -> None:
             comment = bool(_COMMENT.match(text, line))
         _given(text, first.start(), end, add, depth)
         if settings or comment or "--" in text[start:end]:
-            _bare(text, start, first.start(), end, settings, comment, add)
+            _bare(text, start, first.start(), end, settings, comment, add, depth)
 
 
 def _given(text: str, start: int, end: int, add, depth: int) -> None:
@@ -364,13 +445,16 @@ def _given(text: str, start: int, end: int, add, depth: int) -> None:
     spans = [(at + s, at + e) for s, e in spans]
     if not spans:
         return
-    if _plausible(value, kind):
-        add(at, spans, kind)
-    elif depth < DEPTH and not no_credential(value) and (inner := _inner(value, kind, depth)):
-        add(at, spans, inner, 1)
+    plain, layers, container = _peeled(value)
+    if container:
+        add(at, spans, f"private key ({container})", depth + layers)
+    elif _plausible(plain, kind):
+        add(at, spans, kind, depth + layers)
+    elif not no_credential(value) and (inner := _inner(value, depth)):
+        add(at, spans, *inner)
 
 
-def _bare(text: str, start: int, first: int, end: int, settings: bool, comment: bool, add) -> None:
+def _bare(text: str, start: int, first: int, end: int, settings: bool, comment: bool, add, depth: int) -> None:
     """The unquoted values of the name or options in a word; the word bounds where a match starts, not its value."""
     upto = start
     for at in sorted({first, *(o.start() for o in _OPTION.finditer(text, start, end))}):
@@ -383,8 +467,9 @@ def _bare(text: str, start: int, first: int, end: int, settings: bool, comment:
             continue
         which = "given" if m["dash"] else "value"
         value = re.sub(r"(?:\*/|[,;)}\]]+)$", "", m[which])
-        if _plausible(value, kind) and (m["dash"] or "(" not in value):
-            add(m.start(which), [(m.start(which), m.start(which) + len(value))], kind)
+        plain, layers, container = _peeled(value)
+        if container or (_plausible(plain, kind) and not re.search(r"\s", value) and (layers or m["dash"] or "(" not in value)):
+            add(m.start(which), [(m.start(which), m.start(which) + len(value))], f"private key ({container})" if container else kind, depth + layers)
 
 
 def redact(text: str, found: list[Found]) -> str:

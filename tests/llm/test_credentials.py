@@ -1,4 +1,5 @@
 import base64
+import random
 
 import pytest
 
@@ -59,7 +60,7 @@ def test_key_containers():
     pkcs1 = der(0x30, zero + number * 8)
     pkcs8 = der(0x30, zero + der(0x30, der(6, b"\x2a\x86")) + der(4, pkcs1))
     sec1 = der(0x30, der(2, b"\1") + der(4, b"k" * 60))
-    assert [C.key_container(x) for x in (pkcs1, pkcs8, sec1, b"openssh-key-v1\0rest", b"0\x82ab", der(0x30, zero))] == ["PKCS#1", "PKCS#8", "SEC1", "OpenSSH", None, None]
+    assert [C.key_container(x) for x in (pkcs1, pkcs8, sec1, b"openssh-key-v1\0rest", b"0\x82ab", der(0x30, zero))] == ["PKCS#1", "PKCS#8", "SEC1", None, None, None]
     text = f'blob = "{base64.b64encode(pkcs8).decode()}"'
     assert C.scan(text)[0][2] == "private key (PKCS#8)"
 
@@ -113,3 +114,103 @@ def test_encoded_texts_with_other_letters_are_decoded(plain):
     text = f'blob = "{b64(plain)}"'
     found = C.scan(text)
     assert len(found) == 1 and found[0][3] >= 1 and C.redact(text, found) == f'blob = "{"*" * len(b64(plain))}"'
+
+
+# --- decoded layers and key containers as the only sign ----------------------------------------------------------------
+TOKEN = "ghp_" + "a8Kd02LmQz91XcVbTrEw" * 2
+
+
+def _layer(kind, text):
+    if kind == "base64":
+        return base64.b64encode(text.encode()).decode()
+    if kind == "hex":
+        return text.encode().hex()
+    if kind == "percent":
+        return "".join(f"%{b:02X}" for b in text.encode())
+    return "".join(f"\\x{b:02x}" for b in text.encode())
+
+
+@pytest.mark.parametrize("kinds", [["base64"], ["hex"], ["percent"], ["escape"], ["base64", "hex"], ["percent", "base64"], ["escape", "base64"], ["base64"] * 5, ["base64"] * 8, ["hex", "base64"] * 4, ["base64", "percent", "hex", "base64", "base64", "hex"]])
+def test_encoded_layers_are_the_only_sign(kinds):
+    value = TOKEN
+    for kind in kinds:
+        value = _layer(kind, value)
+    text = f'line = 1\nBLOB = "{value}"\nrest = 2\n'
+    found = C.scan(text)
+    assert [(text.count("\n", 0, f[0]) + 1, f[3]) for f in found] == [(2, len(kinds))]
+    assert C.redact(text, found) == text.replace(value, "*" * len(value))
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def _integer(n, size=1):
+    return _der(0x02, n.to_bytes(size, "big"))
+
+
+def _big(r, size):
+    return _der(0x02, bytes([0x5F]) + r.randbytes(size - 1))
+
+
+def _field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def _containers():
+    r = random.Random(5)
+    rsa = _der(0x30, _integer(0), _big(r, 128), _integer(65537, 3), *[_big(r, 64) for _ in range(6)])
+    multi = _der(0x30, _integer(1), _big(r, 128), _integer(65537, 3), *[_big(r, 64) for _ in range(6)], _der(0x30, *[_der(0x30, *[_big(r, 64) for _ in range(3)]) for _ in range(4)]))
+    algorithm = _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d010101")), _der(0x05))
+    pkcs8 = _der(0x30, _integer(0), algorithm, _der(0x04, rsa))
+    many = _der(0x30, _integer(1), algorithm, _der(0x04, rsa), *[_der(0xA0 + k % 2, b"x" * 4) for k in range(20)])
+    encrypted = _der(0x30, _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d01050d")), _der(0x30, _integer(2))), _der(0x04, r.randbytes(200)))
+    sec1 = _der(0x30, _integer(1), _der(0x04, r.randbytes(32)), _der(0xA0, _der(0x06, bytes.fromhex("2a8648ce3d030107"))), _der(0xA1, _der(0x03, b"\0" + r.randbytes(65))))
+    dsa = _der(0x30, _integer(0), _big(r, 128), _big(r, 20), _big(r, 128), _big(r, 128), _big(r, 20))
+    p12 = _der(0x30, _integer(3), _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d010701")), _der(0xA0, _der(0x04, r.randbytes(300)))))
+    check = r.randbytes(4)
+    ssh = b"openssh-key-v1\0" + _field(b"none") + _field(b"none") + _field(b"") + (1).to_bytes(4, "big") + _field(r.randbytes(51)) + _field(check + check + r.randbytes(120))
+    return {"PKCS#1": rsa, "PKCS#1 multi-prime": multi, "PKCS#8": pkcs8, "PKCS#8 with many attributes": many, "PKCS#8 encrypted": encrypted, "SEC1": sec1, "DSA": dsa, "PKCS#12": p12, "OpenSSH": ssh}
+
+
+@pytest.mark.parametrize("name", _containers())
+@pytest.mark.parametrize("layers", [["base64"], ["hex"], ["base64", "base64", "hex"]])
+def test_key_containers_are_the_only_sign(name, layers):
+    data = _containers()[name]
+    value = base64.b64encode(data).decode() if layers[0] == "base64" else data.hex()
+    for kind in layers[1:]:
+        value = _layer(kind, value)
+    text = f'const material = "{value}";'
+    found = C.scan(text)
+    assert len(found) == 1 and found[0][2] == f"private key ({name.split(' ')[0]})" and found[0][3] == len(layers)
+    assert C.redact(text, found) == f'const material = "{"*" * len(value)}";'
+
+
+def test_bytes_that_only_begin_like_a_container_are_no_key():
+    r = random.Random(6)
+    prose = b"openssh-key-v1\0 is how the new format of private keys begins, as every reader of the manual knows by now"
+    public = _der(0x30, _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d010101")), _der(0x05)), _der(0x03, b"\0" + r.randbytes(270)))
+    certificate = _der(0x30, _der(0x30, _integer(2), _der(0x30, b"")), _der(0x30, b""), _der(0x03, r.randbytes(128)))
+    for data in (prose, b"openssh-key-v1\0" + r.randbytes(200), public, certificate, b"\x30\x81\x80" + r.randbytes(128), _containers()["OpenSSH"][:-3], _containers()["SEC1"][:-1]):
+        for value in (base64.b64encode(data).decode(), data.hex()):
+            assert C.scan(f'const material = "{value}";') == []
+
+
+@pytest.mark.parametrize("size", [310, 600, 5000, 100_000])
+def test_long_values_are_blanked_to_their_end(size):
+    value = "".join(random.Random(size).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHJKLMNPQ23456789", k=size))
+    for text, settings in ((f"SESSION_TOKEN={value}\nNEXT=1\n", True), (f'api_token = "{value}"\n', False), (f"# run with --api-token {value}\n", False)):
+        assert C.redact(text, C.scan(text, settings)) == text.replace(value, "*" * size)
+
+
+@pytest.mark.parametrize("text", ['DB_PASS = "correct horse battery"', 'const pw = "S3cr3t!pass99";', 'password = "my-dog-rex-2019"', 'passphrase: "violet tundra 7 anchor maple"'])
+def test_passwords_of_words_are_found(text):
+    assert len(C.scan(text)) == 1
+
+
+@pytest.mark.parametrize("text", ['password = "Enter your password"', 'password_confirm = "Repeat password"', 'passwd = "my-secret-password"', 'password: "Must be at least 8 characters"', 'pw = "the-password"', 'password = "Forgot password?"', 'labels = {"password": "Passwort vergessen?"}', 'password = "Y2hhbmdlbWU="'])
+def test_prompts_and_placeholders_are_none(text):
+    assert C.scan(text) == []
