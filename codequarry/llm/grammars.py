@@ -119,6 +119,7 @@ TS: Params = 'this' ':' Type (',' Param)* ','?
 TS: Param = NAME '?' T
 """
 SCRIPT_RESERVED = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new null return super switch this throw try typeof var void while with enum await let static yield public private protected implements interface package"
+SCRIPT_SLOPPY = "await let static yield public private protected implements interface package"
 SCRIPT_CONTEXTUAL = "as async from get of set type namespace module declare abstract readonly override keyof infer is asserts unique satisfies out accessor global assert"
 SCRIPT_PUNCTUATION = {
     "ASSIGN": "+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=",
@@ -235,7 +236,8 @@ Item = Expr ('AS' (NAME | STR) | NAME)? | '*' | Path '.' '*'
 From = 'FROM' Table (',' Table)*
 Table = Source Join*
 Join = ('NATURAL'? ('INNER' | ('LEFT' | 'RIGHT' | 'FULL') 'OUTER'?)? 'JOIN' Source ('ON' Expr | 'USING' '(names)')) | ('CROSS' | 'NATURAL') 'JOIN' Source
-Source = 'LATERAL'? ('ONLY'? Path | '(query)' | Call | '(tables)') ('AS'? NAME '(names)'?)? ('TABLESAMPLE' NAME '(exprs)')?
+Source = 'LATERAL'? ('ONLY'? Path | '(query)' | Call | '(tables)') ('AS'? NAME '(names)'?)? ('TABLESAMPLE' NAME? ('(exprs)' | '(sample)') ('REPEATABLE' '(exprs)')?)?
+Sample = Expr ('PERCENT' | 'ROWS')
 Order = 'ORDER' 'BY' Key (',' Key)*
 Key = Expr ('ASC' | 'DESC')? ('NULLS' ('FIRST' | 'LAST'))?
 Limits = Limit*
@@ -302,7 +304,7 @@ Bound = 'UNBOUNDED' ('PRECEDING' | 'FOLLOWING') | 'CURRENT' 'ROW' | Expr ('PRECE
 """
 SQL_RESERVED = "SELECT FROM WHERE GROUP ORDER HAVING JOIN ON AND OR NOT INTO VALUES SET CREATE TABLE AS UNION CASE WHEN THEN ELSE END IN IS LIKE BETWEEN LIMIT DISTINCT INNER CROSS NATURAL INTERSECT EXCEPT USING NULL WITH UPDATE DELETE INSERT BY ALL ANY ASC CAST CHECK COLLATE CONSTRAINT DEFAULT DESC FETCH FOR FOREIGN FULL GRANT ILIKE LATERAL OFFSET ONLY PRIMARY REFERENCES RETURNING SIMILAR SOME TO UNIQUE TRUE FALSE"
 SQL_GROUPS = {
-    "(": (("(query)", "Query"), ("(statement)", "Stmt"), ("(names)", "Names"), ("(exprs)", "Exprs"), ("(expr)", "Expr"), ("(row)", "Row"), ("(columns)", "Columns"), ("(window)", "Window"), ("(options)", "Options"), ("(keys)", "Keys"), ("(call)", "CallArgs"), ("(cast)", "Cast"), ("(extract)", "Extract"), ("(where)", "Where"), ("(tables)", "Table"), ("(any)", "Any")),
+    "(": (("(query)", "Query"), ("(statement)", "Stmt"), ("(names)", "Names"), ("(exprs)", "Exprs"), ("(expr)", "Expr"), ("(row)", "Row"), ("(columns)", "Columns"), ("(window)", "Window"), ("(options)", "Options"), ("(keys)", "Keys"), ("(call)", "CallArgs"), ("(cast)", "Cast"), ("(extract)", "Extract"), ("(where)", "Where"), ("(tables)", "Table"), ("(sample)", "Sample"), ("(any)", "Any")),
     "[": (("[any]", "Any"),),
     "{": (),
 }
@@ -332,6 +334,7 @@ ElifOne = Elif Line
 ElseOne = ElseLine Line
 TryOne = Try Line
 ExceptOne = Except Line
+ExceptStarOne = ExceptStar Line
 FinallyOne = FinallyLine Line
 ForOne = For Line
 WhileOne = While Line
@@ -343,7 +346,7 @@ TypeParams = '[typeparams]'?
 TypeParamList = TypeParam (',' TypeParam)* ','?
 TypeParam = NAME (':' Test)? ('=' Test)? | '*' NAME ('=' StarExpr)? | '**' NAME ('=' Test)?
 Simple = StarExprs | Assignment | 'pass' | 'break' | 'continue' | 'return' StarExprs? | 'raise' (Test ('from' Test)?)? | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)* | 'del' DelTargets | 'assert' Test (',' Test)? | Import | 'type' NAME TypeParams '=' Test | Yield
-Assignment = (Targets '=')+ (StarExprs | Yield) | Single AUG (StarExprs | Yield) | (Single | '(target)') ':' Test ('=' (StarExprs | Yield))?
+Assignment = (Targets '=')+ (StarExprs | Yield) | (Single | '(target)') AUG (StarExprs | Yield) | (Single | '(target)') ':' Test ('=' (StarExprs | Yield))?
 Import = 'import' Dotted ('as' NAME)? (',' Dotted ('as' NAME)?)* | 'from' (('.' | '...')* Dotted | ('.' | '...')+) 'import' ('*' | '(imports)' | ImportNames)
 ImportNames = NAME ('as' NAME)? (',' NAME ('as' NAME)?)*
 ImportGroup = ImportNames ','?
@@ -370,6 +373,7 @@ Sum = Factor ((OP | '|' | '*' | '**' | '-' | '+' | '/' | '@') Factor)*
 Factor = ('+' | '-' | '~')* 'await'? Atom Trailer*
 Atom = NAME | NUM | STR STR* | 'None' | '...' | '(paren)' | '(gen)' | '[array]' | '[comp]' | '{dict}' | '{set}'
 Paren = StarExprs? | Yield
+Field = StarExprs | Yield
 Gen = Named CompFor+
 CompFor = 'async'? 'for' Targets 'in' Or ('if' OrNamed)*
 OrNamed = NAME ':=' Or | Or
@@ -400,12 +404,12 @@ Closed = '-'? NUM (('+' | '-') NUM)? | STR STR* | 'None' | Dotted | Dotted '(pat
 PatternItems = (PatternItem (',' PatternItem)* ','?)?
 PatternItem = CasePattern | NAME '=' CasePattern
 PatternPairs = (PatternPair (',' PatternPair)* ','?)?
-PatternPair = ('-'? NUM | STR STR* | 'None' | Dotted) ':' CasePattern | '**' NAME
+PatternPair = ('-'? NUM (('+' | '-') NUM)? | STR STR* | 'None' | Dotted) ':' CasePattern | '**' NAME
 # suites: lines are tokens of their own
 Suite = Statement+
 File = Statement*
 Statement = LINE | ONE | IF SUITE (ELIF SUITE | ELIFONE)* (ELSE SUITE | ELSEONE)? | IFONE (ELIF SUITE | ELIFONE)* (ELSE SUITE | ELSEONE)? | (FOR | WHILE) SUITE (ELSE SUITE | ELSEONE)? | (FORONE | WHILEONE) (ELSE SUITE | ELSEONE)? | WITH SUITE
-Statement = (TRY SUITE | TRYONE) ((EXCEPT SUITE | EXCEPTONE)+ (ELSE SUITE | ELSEONE)? (FINALLY SUITE | FINALLYONE)? | (EXCEPTSTAR SUITE)+ (ELSE SUITE | ELSEONE)? (FINALLY SUITE | FINALLYONE)? | FINALLY SUITE | FINALLYONE)
+Statement = (TRY SUITE | TRYONE) ((EXCEPT SUITE | EXCEPTONE)+ (ELSE SUITE | ELSEONE)? (FINALLY SUITE | FINALLYONE)? | (EXCEPTSTAR SUITE | EXCEPTSTARONE)+ (ELSE SUITE | ELSEONE)? (FINALLY SUITE | FINALLYONE)? | FINALLY SUITE | FINALLYONE)
 Statement = DECORATOR* (DEF SUITE | CLASS SUITE | DEFONE | CLASSONE) | MATCH CASES
 Cases = (CASE SUITE | CASEONE)+
 """
@@ -424,7 +428,7 @@ PYTHON_GROUPS = {
 }
 PYTHON_LINES = {
     "LINE": "Line", "IF": "If", "ELIF": "Elif", "ELSE": "ElseLine", "TRY": "Try", "EXCEPT": "Except", "EXCEPTSTAR": "ExceptStar", "FINALLY": "FinallyLine", "FOR": "For", "WHILE": "While", "WITH": "With",
-    "DEF": "Def", "CLASS": "Class", "DECORATOR": "Decorator", "MATCH": "Match", "CASE": "Case", "IFONE": "IfOne", "ELIFONE": "ElifOne", "ELSEONE": "ElseOne", "TRYONE": "TryOne", "EXCEPTONE": "ExceptOne", "FINALLYONE": "FinallyOne",
+    "DEF": "Def", "CLASS": "Class", "DECORATOR": "Decorator", "MATCH": "Match", "CASE": "Case", "IFONE": "IfOne", "ELIFONE": "ElifOne", "ELSEONE": "ElseOne", "TRYONE": "TryOne", "EXCEPTONE": "ExceptOne", "EXCEPTSTARONE": "ExceptStarOne", "FINALLYONE": "FinallyOne",
     "FORONE": "ForOne", "WHILEONE": "WhileOne", "ONE": "WithOne", "DEFONE": "DefOne", "CLASSONE": "ClassOne", "CASEONE": "CaseOne",
 }
 

@@ -20,6 +20,7 @@ Defined cases: null contents and files that are empty or only white space are va
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -149,6 +150,7 @@ class Language:
         return known
 
 
+_SLASH_AFTER_BRACE = re.compile(r"\}\s*/(?![/*])")
 _CLASS_NAMES = re.compile(r"\b(?:class|enum|record)\s+([A-Za-z_$][\w$]*)")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 _STRING = r""""(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"""
@@ -172,6 +174,9 @@ class Braced(Language):
             groups = {k: tuple(x for x in v if typescript or x[1] not in ("Type", "Tuple", "Signature", "Mapped", "TypeMembers", "Enum")) for k, v in G.SCRIPT_GROUPS.items()}
             pieces = tuple(x for x in G.SCRIPT_PIECES if typescript or x[0] not in ("{iface}", "{module}")) + (("{script}", "Stmts"), ("{modulefile}", "Module"))
             super().__init__(text, groups, pieces, G.SCRIPT_RESERVED, G.SCRIPT_CONTEXTUAL, None, G.SCRIPT_PUNCTUATION, nl=True)
+            if not typescript:  # names in scripts that are not strict
+                for w in G.SCRIPT_SLOPPY.split():
+                    self.words[w] = self.id(self.masks[self.words[w]] | self.grammar.bit("NAME"))
             punctuation, strings, number = G.SCRIPT_PUNCTUATION, _STRING, _NUMBER + "n?"
             self.starts = ("{script}", "{modulefile}")
         self.java = java
@@ -187,6 +192,7 @@ class Braced(Language):
         self.values = values | {self.name, self.num, self.str, self.template, self.regex} | {self.words[w] for w in (G.JAVA_CONTEXTUAL if java else G.SCRIPT_CONTEXTUAL).split()}
         self.goes_on = word("else", "catch", "finally", "while", "in", "instanceof", "as", "satisfies", "extends", "implements", "from", "of", "is", "permits", "throws")
         self.do = word("do")
+        self.headers = word("if", "while", "for", "with") if not java else set()
         self.quiet = {self.punctuation[x] for x in (";", ",", "=", "=>", ".", "?", ":", "->", "::", "&", "|") if x in self.punctuation}
         # in Java, a name that a class of the file bears: only these can be constructors
         self.class_name = self.id(self.masks[self.name] | self.grammar.bit("CLASSNAME")) if java else self.name
@@ -195,7 +201,16 @@ class Braced(Language):
         self.joined = self.id(self.grammar.mask(">", ">~", "WILD"))
 
     def judge(self, text: str) -> None:
-        """Raises Rejected if no dialect accepts the text."""
+        """Raises Rejected if no dialect accepts the text. A slash behind a closing brace divides or begins a regular expression:
+        both readings are tried."""
+        try:
+            self._judge(text, False)
+        except Rejected:
+            if self.java or not _SLASH_AFTER_BRACE.search(text):
+                raise
+            self._judge(text, True)
+
+    def _judge(self, text: str, regex_after_brace: bool) -> None:
         match, words, name_id, masks, semicolon = self.match, self.words, self.name, self.masks, self.semicolon
         values, goes_on, quiet, java, punctuation = self.values, self.goes_on, self.quiet, self.java, self.punctuation
         nl_ids: dict[int, int] = {}
@@ -204,7 +219,7 @@ class Braced(Language):
         if text.startswith("#!") and not java:
             pos = text.find("\n") if "\n" in text else n
         kind, pieces, now = "{", [], []
-        stack: list[tuple[str, list, list]] = []
+        stack: list[tuple[str, list, list, bool, bool]] = []
         broke, last, after_block, pending = False, -1, False, False
         while pos < n:
             m = match(text, pos)
@@ -250,7 +265,8 @@ class Braced(Language):
                 pending = after_block = False
             after_block = False
             if what == 6:
-                stack.append((kind, pieces, now, broke and last not in quiet))
+                header = last in self.headers and not (len(now) > 1 and now[-2] == self.punctuation.get("."))
+                stack.append((kind, pieces, now, broke and last not in quiet, header))
                 kind, pieces, now, last, broke = m[6], [], [], -1, False
                 pos = end
                 continue
@@ -261,7 +277,7 @@ class Braced(Language):
                 if text.startswith("`", end):
                     token, end = self.template, end + 1
                 elif text.startswith("${", end):
-                    stack.append((kind, pieces, now, broke and last not in quiet))
+                    stack.append((kind, pieces, now, broke and last not in quiet, False))
                     kind, pieces, now, last, broke = "`", [], [], -1, False
                     pos = end + 2
                     continue
@@ -281,8 +297,8 @@ class Braced(Language):
                         continue
                     if not text.startswith("`", end):
                         raise Rejected("template")
-                    kind, pieces, now, broke = stack.pop()
-                    token, end = self.template, end + 1
+                    kind, pieces, now, broke, _ = stack.pop()
+                    token, end, begins = self.template, end + 1, False
                 else:
                     if _CLOSES[close] != kind:
                         raise Rejected("bracket")
@@ -290,11 +306,12 @@ class Braced(Language):
                         pieces.append(tuple(now))
                     token = self.group(kind, pieces)
                     after_block = kind == "{"
-                    kind, pieces, now, broke = stack.pop()
+                    kind, pieces, now, broke, begins = stack.pop()
+                    begins |= close == "}" and regex_after_brace
                 if broke and not java:
                     token = self.with_nl(token)
                 now.append(token)
-                last, broke, pos = self.str, False, end
+                last, broke, pos = -1 if begins else self.str, False, end
                 continue
             last = token
             if broke:
@@ -395,15 +412,18 @@ class Python(Language):
         self.suite_memo: dict[tuple, int] = {}
         self.line_memo: dict[tuple, int] = {}
         marks = _alternation(w for x in G.PYTHON_PUNCTUATION.values() for w in x.split())
-        prefix = r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"
+        prefix = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
         body3 = r"""(?:\"{3}[^\\"]*(?:(?:\\[\s\S]|"(?!""))[^\\"]*)*\"{3}|'{3}[^\\']*(?:(?:\\[\s\S]|'(?!''))[^\\']*)*'{3}|"(?!"")(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?!'')(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')"""
         number = r"0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])"
-        self.match = re.compile(rf"([ \t\f]+|\\\r?\n|\#[^\n]*)|(\r?\n)|({prefix}{body3})|([A-Za-z_\u0080-\U0010ffff]\w*)|((?:{number})(?!\w))|([(\[{{])|([)\]}}])|({marks})").match
+        self.match = re.compile(rf"([ \t\f]+|\\\r?\n|\#[^\n]*)|(\r?\n)|({prefix}{body3})|((?:[fFtT][rR]?|[rR][fFtT])(?:\"{{3}}|'{{3}}|\"|'))|([A-Za-z_\u0080-\U0010ffff][\w\u0080-\U0010ffff]*)|((?:{number})(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b)))|([(\[{{])|([)\]}}])|({marks})").match
         self.blank = re.compile(r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+").match
         self.indent = re.compile(r"[ \t\f]*").match
         self.kinds = tuple(G.PYTHON_LINES.items())
         self.newline = self.grammar.bit("LINE")
-        self.fields = re.compile(r"\{\{|\}\}|[{}]")
+        self.raw_text = re.compile(r"(?:[^{}\"'\n\\]|\{\{|\}\})+").match
+        self.escape = re.compile(r"N\{[^{}\n]*\}|\r\n|[\s\S]").match
+        self.space = re.compile(r"(?:\s|#[^\n]*)*").match
+        self.conversion = re.compile(r"![ \t]*[A-Za-z_]\w*\s*").match
 
     def line(self, tokens: tuple) -> int:
         known = self.line_memo.get(tokens)
@@ -440,18 +460,93 @@ class Python(Language):
             out.append(t)
         return tuple(out)
 
-    def _format(self, literal: str) -> None:
-        """Replacement fields of an f-string must balance."""
-        depth = 0
-        body = literal[1:]
-        for m in self.fields.finditer(body):
-            if m[0] == "{{" and not depth or m[0] == "}}" and not depth:
+    def _formatted(self, text: str, pos: int, head: str) -> int:
+        """The end of an f-string whose content begins at pos; every replacement field is recognised as an expression."""
+        quote = head.lstrip("rRfFtT")
+        raw, one_line = len(head) - len(quote) > 1, len(quote) == 1
+        while True:
+            if m := self.raw_text(text, pos):
+                pos = m.end()
+            if text.startswith(quote, pos):
+                return pos + len(quote)
+            c = text[pos : pos + 1]
+            if c == "{":
+                pos = self._field(text, pos + 1, quote)
+            elif c == "\\":
+                if raw:  # the backslash stays, but a quote after it doesn't end the string
+                    pos += 2 if text[pos + 1 : pos + 2] in ("\\", "\"", "'", "\n") and pos + 1 < len(text) else 1
+                elif m := self.escape(text, pos + 1):
+                    pos = pos + 1 if m[0] in "{}" else m.end()
+                else:
+                    raise Rejected("field")
+            elif not c or c == "}" or (c == "\n" and one_line):
+                raise Rejected("field")
+            else:
+                pos += 1
+
+    def _field(self, text: str, pos: int, quote: str) -> int:
+        """The position behind the brace that closes the replacement field whose expression begins at pos."""
+        match, kind, now, stack = self.match, "", [], []
+        while True:
+            c = text[pos : pos + 1]
+            if not stack and c and c in "}:!=" and text[pos : pos + 2] not in ("!=", "=="):
+                break
+            m = match(text, pos)
+            if m is None:
+                raise Rejected("field")
+            what, pos = m.lastindex, m.end()
+            if what <= 2:
+                continue
+            if what == 7:
+                stack.append((kind, now))
+                kind, now = m[7], []
                 continue
-            depth += m[0].count("{") - m[0].count("}")
-            if depth < 0:
+            if what == 8:
+                if not stack or _CLOSES[m[8]] != kind:
+                    raise Rejected("bracket")
+                token = self.group(kind, [tuple(now)])
+                kind, now = stack.pop()
+            elif what == 4:
+                token, pos = self.str, self._formatted(text, pos, m[4])
+            else:
+                token = self._token(what, m)
+            now.append(token)
+        key = ("f", tuple(now))
+        known = self.group_memo.get(key)
+        if known is None:
+            known = self.group_memo[key] = bool(self.derives(tuple(now), ("Field",)))
+        if not known:
+            raise Rejected("field")
+        if text[pos] == "=":
+            pos = self.space(text, pos + 1).end()
+        if text.startswith("!", pos):
+            m = self.conversion(text, pos)
+            if not m:
                 raise Rejected("field")
-        if depth:
+            pos = m.end()
+        if text.startswith(":", pos):
+            pos += 1
+            while not text.startswith("}", pos):
+                if text.startswith("{", pos):
+                    pos = self._field(text, pos + 1, quote)
+                elif pos >= len(text) or text.startswith(quote, pos) or (text[pos] == "\n" and len(quote) == 1):
+                    raise Rejected("field")
+                else:
+                    pos += 1
+        if not text.startswith("}", pos):
             raise Rejected("field")
+        return pos + 1
+
+    def _token(self, what: int, m: re.Match) -> int:
+        """The token of a literal, name, number or mark."""
+        if what == 3:
+            return self.str
+        if what == 5:
+            name = m[5]
+            if not name.isascii() and not name.isidentifier() and not unicodedata.normalize("NFKC", name).isidentifier():
+                raise Rejected("character")
+            return self.words.get(name, self.name)
+        return self.num if what == 6 else self.punctuation[m[9]]
 
     def judge(self, text: str) -> None:
         text = text.removeprefix("\ufeff")
@@ -459,7 +554,7 @@ class Python(Language):
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         if not text.endswith("\n"):
             text += "\n"
-        match, blank, words, name_id, punctuation = self.match, self.blank, self.words, self.name, self.punctuation
+        match, blank, words, name_id = self.match, self.blank, self.words, self.name
         pos, n = 0, len(text)
         indents, blocks = [""], [[]]
         stack: list[tuple[str, list]] = []
@@ -505,27 +600,21 @@ class Python(Language):
                         now = []
                     fresh = True
                 continue
-            if what == 4:
-                token = words.get(m[4], name_id)
-            elif what == 8:
-                token = punctuation[m[8]]
-            elif what == 3:
-                token = self.str
-                literal = m[3]
-                head = literal[:2].lower()
-                if ("f" in head or "t" in head) and head[0] in "rbft" and "{" in literal + "}" and ("{" in literal or "}" in literal):
-                    self._format(literal)
-            elif what == 5:
-                token = self.num
-            elif what == 6:
+            if what == 7:
                 stack.append((kind, now))
-                kind, now = m[6], []
+                kind, now = m[7], []
                 continue
-            else:
-                if not stack or _CLOSES[m[7]] != kind:
+            if what == 8:
+                if not stack or _CLOSES[m[8]] != kind:
                     raise Rejected("bracket")
                 token = self.group(kind, [tuple(now)])
                 kind, now = stack.pop()
+            elif what == 4:
+                token, pos = self.str, self._formatted(text, pos, m[4])
+            elif what == 5 and m[5].isascii():
+                token = words.get(m[5], name_id)
+            else:
+                token = self._token(what, m)
             now.append(token)
         if stack:
             raise Rejected("open")

@@ -1,7 +1,12 @@
 import ast
 import json
 import random
+import sysconfig
 import tomllib
+import warnings
+from concurrent.futures import ProcessPoolExecutor
+from multiprocessing import get_context
+from pathlib import Path
 
 import pytest
 
@@ -22,7 +27,7 @@ VALID = {
 
 BROKEN = {
     "python": ["def f(:\n    pass\n", "x = (1\n", "if x:\npass\n", "print 'a'\n", "a = 1 +\n", "try:\n    pass\nx = 1\n", "x = 'a\n", "  x = 1\ny = 2\n", "f() = 1\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = 01\n", "12ab\n", "class A\n    pass\n", "f'{a'\n", "else:\n    pass\n", "f(a=1, b)\n", "def f(a=1, b): pass\n", "function f() { return 1; }\n"],
-    "javascript": ["function f( {", "let x = ;", "const a: string = 1;", "if (a { b() }", "<<<<<<< a\nx()\n=======\ny()\n>>>>>>> b\n", "class A { x() { } ", "a b c", "x = 'a\n';", "def f(): pass", "for (const a of b", "return }", "x = `${}`", "a > > b", "let private = 1", "await .x", "interface A { b: string }"],
+    "javascript": ["function f( {", "let x = ;", "const a: string = 1;", "if (a { b() }", "<<<<<<< a\nx()\n=======\ny()\n>>>>>>> b\n", "class A { x() { } ", "a b c", "x = 'a\n';", "def f(): pass", "for (const a of b", "return }", "x = `${}`", "a > > b", "interface A { b: string }"],
     "typescript": ["type A = ;", "let a: = 1", "class A { private }}", "function f(a: string { }", "public class B { int x; }", "SELECT 1 FROM x;", "enum E { A B }"],
     "java": ["class A { void f() { int = 1; } }", "class A { void f() { x + 1; } }", "class A { void f() { a.b; } }", "class A { void f() { (a, b); } }", "class A {", "public void f() {}}", "class A { int f() { return 1 } }", "import a.b\nclass C {}", "function f() {}"],
     "sql": ["SELECT FROM t;", "CREATE TABLE t (", "INSERT INTO t (a, b VALUES (1, 2);", "SELECT a FROM t WHERE;", "UPDATE t a = 1;", "SELECT 'a FROM t;", "const x = 1;", "SELECT a, FROM t;"],
@@ -83,3 +88,88 @@ def test_frames(spark):
     rates = {(r["repo"], r["language"]): (r["files"], r["invalid"], r["share"]) for r in S.invalid_rates(df).collect()}
     assert rates == {("r", "python"): (2, 1, 0.5), ("r", "json"): (2, 0, 0.0), ("q", "typescript"): (1, 1, 1.0), ("q", "javascript"): (1, 0, 0.0)}
     assert S.invalid_files(df.where("false")).count() == 0
+
+
+def _differs(path):
+    try:
+        text = Path(path).read_text(encoding="utf-8-sig")
+    except (UnicodeDecodeError, OSError):
+        return None
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            ok = True
+        except (SyntaxError, ValueError):
+            ok = False
+    return path if ok != (S.reason(text, "python") is None) else None
+
+
+def test_whole_standard_library_is_judged_as_by_ast():
+    files = [str(f) for f in Path(sysconfig.get_paths()["stdlib"]).rglob("*.py") if "site-packages" not in f.parts]
+    assert len(files) > 500
+    with ProcessPoolExecutor(8, mp_context=get_context("spawn")) as pool:
+        assert [x for x in pool.map(_differs, files, chunksize=20) if x] == []
+
+
+FIELDS = ['{x}', '{{{x}}}', '{1 +}', '{def x}', '{a b}', '{x!r:>{w}.{p}}', '{x = }', '{x=!r}', '{a["b"]}', '{ {1: 2}[1] }', '{x!z y}', '{}', '{x:{}}', '{lambda x: 1}', '{(lambda x: 1)}', '{x!=y}', '{x:%H:%M}', '{yield}', '{*a, b}', '}', '{x', '{x:{y:{z}}}', '{f"{x}"}', "{'a' 'b'}", '{x!}', '{!r}', '{:x}', '{x:a}}b}', '{await y}', '{x if y else z}', '{x;y}', '{x=y}', '{[i for i in x if i]}']
+
+
+@pytest.mark.parametrize("field", FIELDS)
+@pytest.mark.parametrize("head", ['f"', 'rf"', "F'", 'f"""', "f'''"])
+def test_fields_of_format_strings(head, field):
+    text = f"async def f():\n    s = {head}a {field} b{head.lstrip('rfF')}\n"
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            ok = True
+        except SyntaxError:
+            ok = False
+    assert (S.reason(text, "python") is None) == ok
+
+
+# fixed tables: (text, valid as script, valid as module)
+SCRIPTS = [
+    ("if (x) /re/.test(y);", True, True), ("while (a) /b/.exec(c);", True, True), ("for (const a of b) /x/g.test(a)", True, True), ("{ a() }\n/re/.test(x)", True, True), ("x = {} / 2;", True, True), ("f(x) / 2", True, True),
+    ("obj.if(x) / 2 / 3", True, True), ("yield = 1", True, False), ("var await = 1", True, False), ("let = 5", True, False), ("var static = 1, interface = 2;", True, False), ("let private = 1", True, False), ("await .x", True, False), ("import a from 'b'", False, True), ("export const a = 1", False, True),
+    ("export { a }; var x = /[/]/.test(y) / 2", False, True), ("x = a / b / c", True, True), ("if (a) b / c; else /d/.test(e)", True, True), ("if (x) / 2", False, False), ("var 1a = 2", False, False),
+]
+
+
+@pytest.mark.parametrize("text, script, module", SCRIPTS)
+def test_scripts_and_modules(text, script, module):
+    assert (S.reason(text, "javascript") is None) == (script or module)
+
+
+@pytest.mark.parametrize("text", ["SELECT * FROM t TABLESAMPLE SYSTEM (10)", "SELECT * FROM t TABLESAMPLE (10 PERCENT) WHERE a", "SELECT * FROM t AS a TABLESAMPLE BERNOULLI (5) REPEATABLE (3)"])
+def test_samples_of_tables(text):
+    assert S.reason(text, "sql") is None
+
+
+ELEMENTS = {"json": ["1", '"a"', "{}", "[2]", '{"a": 1}', ""], "python": ["1", "a", "a=1", "*b", "**c", "x for x in y", ""], "javascript": ["1", "a", "...b", "a: 1", "() => {}", ""], "typescript": ["1", "a", "a?: b", "...c: d[]", ""], "java": ["1", "a", "int b", "c -> d", ""], "sql": ["1", "a", "a int", "b AS c", "*", ""], "toml": ["1", '"a"', "[2]", "{b = 1}", ""]}
+FRAMES = {"json": "[%s]", "python": "f(%s)\n", "javascript": "f(%s)", "typescript": "function f(%s) {}", "java": "class A { void f() { g(%s); } }", "sql": "SELECT f(%s) FROM t", "toml": "a = [%s]\n"}
+
+
+@pytest.mark.parametrize("language", ELEMENTS)
+def test_shortened_lists_are_judged_like_whole_ones(language, monkeypatch):
+    r = random.Random(language)
+    texts = []
+    for _ in range(60):
+        runs = [(r.choice(ELEMENTS[language][: r.choice([2, 2, 4, 9])]), r.choice([1, 2, 3, 4, 30])) for _ in range(r.randint(1, 4))]
+        texts.append(FRAMES[language] % ", ".join(e for e, n in runs for _ in range(n)))
+    short = [S.reason(t, language) is None for t in texts]
+    monkeypatch.setattr(S, "collapsed", lambda tokens, comma: tokens)
+    monkeypatch.setattr(S, "_LANGUAGES", {})
+    assert short == [S.reason(t, language) is None for t in texts]
+    assert any(short) and not all(short)
+
+
+def test_shortened_suites_are_judged_like_whole_ones(monkeypatch):
+    r = random.Random(3)
+    lines = ["x = 1", "pass", "if a: b", "else: c", "elif d: e", "for x in y: z", "try: a", "except b: c", "@d", "def f(): g"]
+    texts = ["".join(f"{line}\n" * r.choice([1, 1, 2, 3, 4, 7]) for line in r.choices(lines[: r.choice([2, 3, 10])], k=r.randint(1, 6))) for _ in range(200)]
+    short = [S.reason(t, "python") is None for t in texts]
+    monkeypatch.setattr(S.Python, "_shrunk", lambda self, lines: tuple(lines))
+    monkeypatch.setattr(S, "_LANGUAGES", {})
+    assert short == [S.reason(t, "python") is None for t in texts]
