@@ -3,16 +3,16 @@
 `packed` assigns every document, sized in tokens of a public tokenizer, to containers of a given capacity with little room
 lost; only documents longer than the capacity are cut, into pieces of the capacity and a rest.
 
-How: bulk-synchronous best-fit, from the largest documents down. Sizes and gaps are whole numbers up to the capacity, so the
-range sort of documents and gaps is a counting sort: documents of one size form a class, containers with one gap a pool
-of ranges of container numbers. A round takes one size class: a successor sweep over the pools, from the tightest gap that
-fits upwards, matches as many of the class's documents as the pools hold, conflicts are resolved by rank (the i-th document
-of the class takes the i-th container of the pool), the matched containers move to the pool of their new gap, and what
-found no gap opens containers. The result is that of best-fit decreasing, container by container. The sweeps need only the
-number of documents of each size (at most `capacity` numbers reach the driver) and yield rows (size, ranks, container
-numbers), at most one for each pair of size and gap plus one for each range cut; the documents themselves are ranked
-within their size class where they lie and look their container up. Nothing is sorted or collected whole, and a size that a
-third of all documents share is ranked partition by partition like any other.
+How: bulk-synchronous best-fit. Documents of one size form a class (size, first rank, number), containers with one gap a range (gap,
+first container, number), and both are rows of one table that Spark range-partitions by size and gap. A round is one Spark job
+over that table: in every range a successor sweep goes upwards through sizes and gaps, and each gap takes the largest documents
+that fit it and that no tighter gap has taken (as many copies as fit, if the class has enough for all containers of the
+range); what a range could not match is carried to the sweep of all ranges together. Conflicts are resolved by rank: the i-th
+document of a class takes the i-th container of the range. Then gaps are updated and the next round begins; documents that are
+larger than every gap open containers. Only a few sums reach the driver between rounds. The rows are at most the capacity (sizes) plus
+the containers' ranges, of which a round adds at most one per class, whatever the number of documents; the documents themselves are
+ranked within their size class where they lie and look their container up by an equi-join on blocks of ranks. Nothing is sorted,
+broadcast or collected whole, and a size that a third of all documents share is ranked and joined block by block.
 
 Defined cases: null or empty texts have no tokens and are put into container 0; repeated rows of a document count once,
 with their largest size; a null id is left out.
@@ -21,11 +21,12 @@ with their largest size; a null id is left out.
 from __future__ import annotations
 
 import base64
-from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -81,39 +82,103 @@ def _ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(sizes), pa.int32()), pa.array(ranks)], ["doc_id", "piece", "tokens", "part", "local"])
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """The rounds of best-fit decreasing over size classes: rows (size, first rank, ranks, first container) and the number of
-    containers. `counts`: documents of each size from 1 to the capacity."""
-    pools: list[deque[tuple[int, int]]] = [deque() for _ in range(capacity + 1)]
-    held = np.zeros(capacity + 1, np.int64)  # containers of each gap
-    plan: list[tuple[int, int, int, int]] = []
-    containers = 0
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            open_gaps = np.flatnonzero(held[size:capacity])
-            if not open_gaps.size:
-                # no gap fits: the class opens containers, each filled with it as far as it goes
-                room = capacity // size
-                fresh = -(-left // room)
-                pools[capacity].append((containers, fresh))
-                held[capacity] += fresh
-                containers += fresh
-                gap = capacity
-            else:
-                gap = size + int(open_gaps[0])
-            while left and held[gap]:
-                first, n = pools[gap].popleft()
-                k = min(n, left)
-                if k < n:
-                    pools[gap].appendleft((first + k, n - k))
-                held[gap] -= k
-                plan.append((size, rank, k, first))
-                pools[gap - size].append((first, k))
-                held[gap - size] += k
-                rank += k
-                left -= k
-    return plan, containers
+Run = tuple[int, int, int]  # (size or gap, first rank or container, number)
+Match = tuple[int, int, int, int, int, int]  # (gap that is left, first container, containers, size, first rank, copies in each)
+
+
+def sweep(items: list[Run], gaps: list[Run]) -> tuple[list[Run], list[Run], list[Match]]:
+    """One successor sweep: (documents left, gaps left, matches). Sizes and gaps go upwards together; a gap takes the largest documents
+    below it that are still there, so each document is taken by the tightest gap that comes its way."""
+    items, gaps = sorted(items), sorted(gaps)
+    below: list[Run] = []
+    left, matches, at = [], [], 0
+    for gap, first, n in gaps:
+        while at < len(items) and items[at][0] <= gap:
+            below.append(items[at])
+            at += 1
+        while n and below:
+            size, rank, m = below.pop()
+            taken = min(n, m)
+            copies = min(gap // size, m // n) if m >= n else 1
+            matches.append((gap - copies * size, first, taken, size, rank, copies))
+            if m > taken * copies:
+                below.append((size, rank + taken * copies, m - taken * copies))
+            first, n = first + taken, n - taken
+        if n:
+            left.append((gap, first, n))
+    return below + items[at:], left, matches
+
+
+STATE = "kind string, value long, first long, n long, size long, rank long, copies long"
+
+
+def swept(items: list[Run], gaps: list[Run], inside: Callable[[int], bool]) -> tuple[list[Run], list[Run], list[Match]]:
+    """Sweeps over one range until none of its gaps takes a document of it any more. A gap that is left by a match and still lies inside
+    the range is swept again; the match then keeps nothing (0)."""
+    matches: list[Match] = []
+    waiting: list[Run] = []
+    while gaps and items:
+        items, left, found = sweep(items, gaps)
+        waiting += left
+        again = [m for m in found if m[0] and inside(m[0])]
+        matches += [m for m in found if not (m[0] and inside(m[0]))] + [(0, *m[1:]) for m in again]
+        gaps = [m[:3] for m in again]
+    return items, waiting + gaps, matches
+
+
+def _sweeps(capacity: int, ranges: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def sweep_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Sweeps over the `item` and `gap` rows of a range (-1: what ranges carry on, swept once); all other rows pass."""
+        runs = {kind: list(own[["value", "first", "n"]].itertuples(index=False, name=None)) for kind, own in rows.groupby("kind")}
+        items, gaps, matches = swept(runs.get("item", []), runs.get("gap", []), lambda v: (v - 1) * ranges // capacity == key[0])
+        new = [("item", *x, 0, 0, 0) for x in items] + [("gap", *x, 0, 0, 0) for x in gaps] + [("match", *x) for x in matches]
+        out = pd.DataFrame(new, columns=["kind", "value", "first", "n", "size", "rank", "copies"])
+        kept = rows.loc[rows["kind"] == "match", out.columns]
+        return pd.concat([kept, out], ignore_index=True) if len(kept) and len(out) else kept if len(kept) else out
+
+    return sweep_group
+
+
+def needed(sizes: DataFrame, capacity: int) -> int:
+    """The least number of containers that documents of these classes (value, n) need for themselves."""
+    half = F.sum(F.when(F.col("value") * 2 > capacity, F.col("n")).otherwise(0))
+    row = sizes.agg(F.sum(F.col("value") * F.col("n")).alias("tokens"), half.alias("large")).first()
+    return max(-(-int(row["tokens"] or 0) // capacity), int(row["large"] or 0))
+
+
+def best_fit(classes: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
+    """The rounds: (size, rank, total, first, n), where document `rank + i` of a size goes to container `first + i % n`, i below
+    `total`. `classes`: (value, n), the documents of each size from 1 to the capacity."""
+    spark, sweeps = classes.sparkSession, _sweeps(capacity, ranges)
+    items = cut(classes.select(F.lit("item").alias("kind"), F.col("value").cast("long"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long"), *[F.lit(0).cast("long").alias(c) for c in ("size", "rank", "copies")]))
+    empty = spark.createDataFrame([], STATE)
+    gaps, plan, containers = empty, empty, 0
+    opening = needed(items, capacity)
+    while opening:
+        fresh = spark.createDataFrame([("gap", capacity, containers, opening, 0, 0, 0)], STATE)
+        containers += opening
+        state = items.unionByName(gaps).unionByName(fresh)
+        opening = 0
+        while not opening:
+            local = F.floor((F.col("value") - 1) * ranges / capacity)
+            here = state.withColumn("range", local).groupBy("range").applyInPandas(sweeps, STATE)
+            # carries meet in one sweep; matches that are made already stay spread
+            carried = here.withColumn("range", F.when(F.col("kind") == "match", F.pmod(F.xxhash64("first"), F.lit(ranges))).otherwise(-1))
+            after = cut(carried.groupBy("range").applyInPandas(sweeps, STATE))
+            found = after.where("kind = 'match'")
+            plan = plan.unionByName(found)
+            items = after.where("kind = 'item'")
+            gaps = after.where("kind <> 'item' and value > 0").select(F.lit("gap").alias("kind"), "value", "first", "n", *[F.lit(0).cast("long").alias(c) for c in ("size", "rank", "copies")])
+            sums = after.agg(F.max(F.when(F.col("kind") != "item", F.col("value"))).alias("widest"), F.count(F.when(F.col("kind") == "item", 1)).alias("left"), F.max(F.when(F.col("kind") == "item", F.col("value"))).alias("largest")).first()
+            if not sums["left"]:
+                break
+            if sums["largest"] > (sums["widest"] or 0):
+                opening = needed(items.where(F.col("value") > (sums["widest"] or 0)), capacity)
+            state = items.unionByName(gaps)
+    return plan.select("size", "rank", (F.col("n") * F.col("copies")).alias("total"), "first", "n")
+
+
+RANK_BLOCK = 4096  # ranks of one size that meet their containers in one group of the join
 
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -124,33 +189,17 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKE
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("tokens"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     ranked = cut(pieces.mapInArrow(_ranked, f"doc_id {kind}, piece int, tokens int, part int, local long"))
-    each = ranked.groupBy("tokens", "part").agg(F.count("*").alias("n"))
+    each = cut(ranked.groupBy("tokens", "part").agg(F.count("*").alias("n")))
     before = W.partitionBy("tokens").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = each.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = {r["tokens"]: r["n"] for r in ranked.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).collect()}
-    plan, _ = best_fit(counts, capacity)
-    rows = np.array(plan, np.int64).reshape(-1, 4)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    table = documents.sparkSession.sparkContext.broadcast(rows)
-
-    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, piece, tokens, rank) to the output rows."""
-        plan = table.value
-        starts = np.searchsorted(plan[:, 0], np.arange(capacity + 2))
-        for batch in batches:
-            tokens, rank = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy()
-            container = np.zeros(len(tokens), np.int64)
-            for size in np.unique(tokens).tolist():
-                if not size:
-                    continue
-                own, part = np.flatnonzero(tokens == size), plan[starts[size] : starts[size + 1]]
-                at = np.searchsorted(part[:, 1], rank[own], side="right") - 1
-                container[own] = part[at, 3] + rank[own] - part[at, 1]
-            first = batch.column(1).to_numpy().astype(np.int64) * capacity
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first), batch.column(2), pa.array(container)], ["doc_id", "piece", "first_token", "tokens", "container"])
-
-    ready = ranked.join(offsets, ["tokens", "part"]).select("doc_id", "piece", "tokens", (F.col("before") + F.col("local")).alias("rank"))
-    return ready.mapInArrow(placed, f"doc_id {kind}, piece int, first_token long, tokens int, container long")
+    plan = best_fit(each.where("tokens > 0").groupBy(F.col("tokens").alias("value")).agg(F.sum("n").alias("n")), capacity)
+    block = lambda c: F.floor(c / RANK_BLOCK)
+    plan = plan.withColumn("block", F.explode(F.sequence(block(F.col("rank")), block(F.col("rank") + F.col("total") - 1)))).withColumnsRenamed({"size": "tokens", "rank": "start"})
+    ready = ranked.join(offsets, ["tokens", "part"]).select("doc_id", "piece", "tokens", (F.col("before") + F.col("local")).alias("rank")).withColumn("block", block(F.col("rank")))
+    inside = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("total"))
+    placed = ready.where("tokens > 0").join(plan, ["tokens", "block"]).where(inside).withColumn("container", F.col("first") + (F.col("rank") - F.col("start")) % F.col("n"))
+    out = ["doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), "tokens"]
+    return placed.select(*out, "container").unionByName(ready.where("tokens = 0").select(*out, F.lit(0).cast("long").alias("container")))
 
 
 def container_fill(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
