@@ -5,12 +5,13 @@ rest.
 
 How: identifiers are read from every file without its strings and comments. Character trigram counts of the identifiers of all
 files, one model per language, are aggregated by Spark; a model has at most 31^3 trigrams, so all of them together stay
-under a documented bound and are broadcast. A second pass scores each file: the cross-entropy of its identifiers (mangled
-names of minified code and bundles), the diversity of its line shapes and of its names' affixes (templates of generators and
-compilers), the share of literal data, and how far its file name departs from the naming style of its own repository and
-language (copies from elsewhere keep their origin's style). A score alone flags only what it shows clearly; a weaker score
-is confirmed by the file's own words (a generator's note, an origin with version or revision) or by its place in a directory for
-foreign or generated code.
+under a documented bound and are broadcast. A second pass scores each file: the cross-entropy of its identifiers decides about
+mangled names of minified code and bundles, at any length of lines; the diversity of its line shapes and of its names' affixes
+shows templates of generators and compilers; the share of literal data shows data. Naming styles (of the file's name and of its
+identifiers) are counted over all files that nothing else flags, by repository and by language: a file whose name bears a style that
+hardly any other file of its repository and hardly any of its language bears is a copy from elsewhere, and so is one of a rare style
+whose identifiers are of a foreign style too. A file's own words (a generator's note, an origin with version or revision)
+and its place in a directory for foreign or generated code add what the statement of the problem names expressly.
 
 Defined cases: null contents count as empty; empty files are hand-written unless they lie in a directory for foreign
 code; null paths are judged by content only; repeated rows of a file count once.
@@ -112,6 +113,8 @@ class NameModel:
         counts = np.zeros((32 * 32, 32))
         counts.ravel()[list(grams)] = list(grams.values())
         self.bits = -np.log2((counts + 1) / (counts.sum(axis=1, keepdims=True) + 31)).astype(np.float32).ravel()
+        # what a character costs on average over the language's own names
+        self.usual = float((counts.ravel() * self.bits).sum() / max(1.0, counts.sum()))
 
     def entropy(self, names: list[str]) -> float:
         """The mean over the names of their bits a character."""
@@ -210,6 +213,16 @@ def name_style(path: str | None) -> str:
     return "camel" if stem != stem.lower() else "plain"
 
 
+def identifier_style(names: list[str]) -> str:
+    """The style that most of a file's names of several words have: snake, camel or nothing."""
+    snake = sum("_" in x.strip("_") and not x.isupper() for x in names)
+    camel = sum(bool(_HUMP.search(x)) and not x[0].isupper() for x in names)
+    if snake + camel < STYLED_NAMES:
+        return ""
+    return "snake" if snake >= 0.6 * (snake + camel) else "camel" if camel >= 0.6 * (snake + camel) else ""
+
+
+_HUMP = re.compile(r"[a-z][A-Z]")
 _SHAPE_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
 _SHAPE_NUMBERS = re.compile(r"\d[\w.]*")
 _KEPT_WORDS = {w: w for w in _KEYWORDS}
@@ -293,12 +306,12 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
         per_line = max(per_line, len(run) / (run.count("\n") + 1))
     listed = list(names)
     short = sum(len(x) <= 3 for x in listed) / len(listed) if listed else 0.0
-    mangled = per_line >= MANGLED_LINE or (len(listed) >= MANGLED_NAMES and short >= MANGLED_SHORT)
     tool = any(w in text for w in ("__esModule", "sourceMappingURL", "webpack", "lockfileVersion"))
     return {
         "language": language,
-        # the costlier scores only where a verdict can depend on them
-        "entropy": model.entropy(listed) if model and listed and mangled else 0.0,
+        # cross-entropy against what is usual in the language: 1 is a usual name
+        "entropy": model.entropy(listed) / max(model.usual, 0.1) if model and listed else 0.0,
+        "names_style": identifier_style(listed),
         "short": short,
         "names": len(listed),
         "per_line": per_line,
@@ -315,26 +328,28 @@ def features(text: str, path: str | None, extension: str | None, models: dict[st
     }
 
 
-# Thresholds, set on hand-written files: their names stay under 3.0 bits a character except in tiny or broken files, their
+# Thresholds, set on hand-written files: their names cost under 1.2 times what is usual except in tiny or broken files, their
 # lines under 150 characters on average, and from ten lines on they have six line shapes or more. Of 30 names or more (sf0.1) at
-# most 0.15 are short, in minified files 0.27 or more; a broken file of 31 names had 0.23, so 60 are asked for. Up to 222 lines they have 0.16 shapes a line or more, generated files of
-# over 80 lines at most 0.02.
-MANGLED_BITS, MANGLED_SHORT, MANGLED_LINE, MANGLED_NAMES = 3.2, 0.2, 200, 60
+# most 0.15 are short, in minified files 0.27 or more; a broken file of 31 names had 0.23. Up to 222 lines they have 0.16 shapes a
+# line or more, generated files of over 80 lines at most 0.02.
+MANGLED_COST, MANGLED_SHORT, MOSTLY_SHORT, MANGLED_LINE, MANGLED_NAMES = 1.27, 0.2, 0.6, 200, 20
+STYLED_NAMES = 15
 TEMPLATE_LINES, TEMPLATE_SHAPES, LIKELY_SHAPES, LIKELY_AFFIXES = 10, 3, 6, 0.2
 TEMPLATE_DIVERSITY, LIKELY_DIVERSITY = 0.02, 0.06
 DATA_SHARE = 0.5
 
 
 def verdict(f: dict) -> str | None:
-    """Why a file isn't hand-written; `style?` if the repository's naming style has to decide; None if it is."""
+    """Why a file isn't hand-written; `style?` if the repository's naming style alone has to decide; None if nothing but a style
+    can show it."""
     shapes = f["diversity"] * f["lines"]
     code = f["language"] in ("python", "script", "java")
     if f["literals"] >= DATA_SHARE:
         return "data"
-    if f["per_line"] >= MANGLED_LINE and (f["entropy"] >= MANGLED_BITS or f["short"] >= MANGLED_SHORT) and f["language"] not in ("json", "yaml"):
+    if f["per_line"] >= MANGLED_LINE and (f["entropy"] >= MANGLED_COST or (f["entropy"] >= 1 and f["short"] >= MANGLED_SHORT)) and f["language"] not in ("json", "yaml"):
         return "minified"
-    # wrapped lines: both signs together
-    if f["names"] >= MANGLED_NAMES and f["entropy"] >= MANGLED_BITS and f["short"] >= MANGLED_SHORT and (code or f["language"] == "sql"):
+    # lines of usual length: many short names as well
+    if f["names"] >= MANGLED_NAMES and f["entropy"] >= MANGLED_COST and f["short"] >= (MANGLED_SHORT if f["names"] >= 3 * MANGLED_NAMES else MOSTLY_SHORT) and (code or f["language"] == "sql"):
         return "minified"
     if code and f["lines"] >= TEMPLATE_LINES and (shapes <= TEMPLATE_SHAPES + 0.5 or f["diversity"] <= TEMPLATE_DIVERSITY):
         return "generated"
@@ -347,49 +362,66 @@ def verdict(f: dict) -> str | None:
     return "style?" if f["place"] == "perhaps" else None
 
 
+_SCORED = ["file_id", "repo", "language", "style", "names_style", "reason"]
+
+
 def _scored(models):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(file_id, repo, relative_path, extension, content) to (file_id, repo, language, style, reason)."""
+        """(file_id, repo, relative_path, extension, content) to (file_id, repo, language, style, names_style, reason)."""
         for batch in batches:
-            ids, kept = batch.column(0), []
-            rows = zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)
-            for k, (repo, path, extension, text) in enumerate(rows):
-                why = verdict(features(text or "", path, extension, models.value))
-                if why:
-                    kept.append((k, repo, _language(extension), name_style(path), why))
-            columns = list(zip(*kept, strict=True)) if kept else [()] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.string()) for c in columns[1:])], ["file_id", "repo", "language", "style", "reason"])
+            rows = []
+            for repo, path, extension, text in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                f = features(text or "", path, extension, models.value)
+                rows.append((repo, f["language"], name_style(path), f["names_style"], verdict(f)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], _SCORED)
 
     return score
 
 
-def _style(path):
-    """`name_style` as a column."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/.]*)[^/]*$", 1), "^_+|_+$", "")
-    return (
-        F.when(stem.contains("-"), "kebab").when(stem.contains("_"), "snake").when(stem.rlike("^[A-Z]"), "pascal").when(stem != F.lower(stem), "camel").otherwise("plain")
-    )
+CODE = ("python", "script", "java")
+
+
+def _foreign_styles(scored: DataFrame, foreign: float, rare: float, least_files: int) -> DataFrame:
+    """(file_id): files that a naming style alone shows to be copies from elsewhere. Shares leave the file itself out and are taken
+    of the files that nothing else flags. Only files whose style is rare in their whole language, a small part of all by
+    definition, are joined with the shares of their repository."""
+    home = scored.where("reason is null").where(F.col("language").isin(*CODE))
+    counted = lambda *by: home.groupBy(*by).agg(F.count("*").alias("n"))
+
+    def share(column: str, by: list[str], name: str) -> DataFrame:
+        each = counted(*by, column)
+        total = each.groupBy(*by).agg(F.sum("n").alias(f"{name}_total"))
+        return each.withColumnRenamed("n", name).join(total, by)
+
+    # languages times styles: at most 15 rows
+    files, names = share("style", ["language"], "files"), share("names_style", ["language"], "names")
+    unsure = scored.where("reason is null or reason = 'style?'").where(F.col("language").isin(*CODE)).withColumn("own", F.when(F.col("reason").isNull(), 1).otherwise(0))
+    known = unsure.join(F.broadcast(files), ["language", "style"], "left").join(F.broadcast(names), ["language", "names_style"], "left").fillna(0)
+    part = lambda n, total: F.greatest(F.col(n) - F.col("own"), F.lit(0)) / F.greatest(F.col(total) - F.col("own"), F.lit(1))
+    odd_file = (F.col("style") != "plain") & (part("files", "files_total") < rare)
+    odd_names = (F.col("names_style") != "") & (part("names", "names_total") < rare)
+    candidates = known.withColumn("odd_file", odd_file).withColumn("odd_names", odd_names).where("odd_file or odd_names or reason = 'style?'")
+    candidates = candidates.select("file_id", "repo", "language", "style", "own", "odd_file", "odd_names", "reason")
+    local = candidates.join(share("style", ["repo", "language"], "here").drop("here_total"), ["repo", "language", "style"], "left")
+    local = local.join(counted("repo", "language").withColumnRenamed("n", "here_total"), ["repo", "language"], "left").fillna(0, ["here", "here_total"])
+    strange = part("here", "here_total") < foreign
+    enough = F.col("here_total") - F.col("own") >= least_files
+    return local.where(strange & (F.col("reason").isNotNull() | (enough & (F.col("odd_file") | (F.col("odd_names") & (F.col("style") != "plain")))))).select("file_id")
 
 
-def flagged_files(files: DataFrame, foreign_style: float = 0.02) -> DataFrame:
+def flagged_files(files: DataFrame, foreign_style: float = 0.02, rare_style: float = 0.005, least_files: int = 5) -> DataFrame:
     """(file_id, reason): generated, minified, vendored or data; one row per file that isn't hand-written.
 
-    `foreign_style`: a naming style that fewer of the repository's own files of the language bear is foreign to it.
+    `foreign_style`: a naming style that fewer of the repository's own files of the language bear is foreign to it; `rare_style`: the
+    same of all files of the language; `least_files`: of how many other files a repository's style can be judged.
     """
     own = files.where("file_id is not null").select("file_id", "repo", "relative_path", "extension", "content")
     models = files.sparkSession.sparkContext.broadcast(name_models(own))
     kind = own.schema["file_id"].dataType.simpleString()
-    scored = cut(spread(own).mapInArrow(_scored(models), f"file_id {kind}, repo string, language string, style string, reason string").distinct())
-    language = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), F.lower("extension")), F.lit(OTHER))
-    inside = F.col("relative_path").rlike(_FOREIGN_PLACE.pattern)
-    styles = (
-        own.where(~inside).select("repo", language.alias("language"), _style(F.col("relative_path")).alias("style"))
-        .groupBy("repo", "language", "style").agg(F.count("*").alias("n"))
-    )
-    total = styles.groupBy("repo", "language").agg(F.sum("n").alias("total"))
-    shares = styles.join(total, ["repo", "language"]).select("repo", "language", "style", (F.col("n") / F.col("total")).alias("share"))
-    unsure = scored.where("reason = 'style?'").join(shares, ["repo", "language", "style"], "left")
-    foreign = unsure.where(F.coalesce("share", F.lit(0.0)) < foreign_style).select("file_id", F.lit("vendored").alias("reason"))
+    schema = f"file_id {kind}, repo string, language string, style string, names_style string, reason string"
+    scored = cut(spread(own).mapInArrow(_scored(models), schema).distinct())
+    foreign = _foreign_styles(scored, foreign_style, rare_style, least_files).select("file_id", F.lit("vendored").alias("reason"))
     return scored.where("reason <> 'style?'").select("file_id", "reason").unionByName(foreign).groupBy("file_id").agg(F.min("reason").alias("reason"))
 
 

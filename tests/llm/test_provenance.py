@@ -119,3 +119,64 @@ def test_a_clear_note_decides_whatever_the_shapes():
         assert judged(note + hand) == "generated"
     for talk in ("// Please do not edit.\n", "// Runs the code generated by the planner.\n", "// Keeps the ids that are\n// generated by the store.\n"):
         assert judged(talk + "a(1);\n" + hand.replace("total", "sum")) is None
+
+
+PYTHON = [
+    "def {a}(x):\n    return x.{b}({k})\n", "{a} = [{b}, {k}]\n", "for x in {a}:\n    {b}.append(x + {k})\n", "if {a} > {k}:\n    raise ValueError({b})\n", "with {a}({b}) as f:\n    f.write('{k}')\n", "{a} = {{'x': {b}}}\n", "assert {a}({b}) == {k}\n",
+    "class X{k}:\n    y = {a}\n\n    def {b}(self):\n        pass\n", "while {a}:\n    {b} -= {k}\n", "try:\n    {a}()\nexcept KeyError:\n    {b} = None\n", "{a} = lambda x: x[{b}]\n", "del {a}[{k}:{b}]\n",
+]
+
+
+def styled_corpus():
+    """Hand-written files in kebab and camel case, copies from elsewhere and mangled bundles, none with a telling path or phrase."""
+    r = random.Random(2)
+    words = "load save parse merge filter group count render encode cache order user price event batch".split()
+    name = lambda: r.choice(words) + r.choice(words).title() + r.choice(words).title()
+    hand = lambda n: HAND.format(a=n, b=r.choice(words), n=r.randint(1, 99)) + "".join(f"const {name()} = {name()}({k});\n" for k in range(20))
+    kebab = lambda: f"{r.choice(words)}-{r.choice(words)}-{r.randint(1, 999)}"
+    rows = [(k, f"repo{k % 4}", f"src/{kebab() if k % 2 else name()}.ts", ".ts", hand(name())) for k in range(400)]
+    rows += [(1000 + k, f"repo{k}", f"src/{name()[0].upper()}{name()[1:]}.ts", ".ts", hand(name())) for k in range(3)]  # PascalCase
+    python = lambda: "".join(r.choice(PYTHON).format(a=f"{r.choice(words)}_{r.choice(words)}", b=f"{r.choice(words)}_{r.choice(words)}", k=k) for k in range(24))
+    rows += [(2000 + k, "repo0", f"lib/{r.choice(words)}_{r.choice(words)}_{k}.py", ".py", python() + f"X_{k} = {k}\n") for k in range(300)]
+    camel = "import os\n" + "".join(r.choice(PYTHON).format(a=name(), b=name(), k=k) for k in range(24))
+    rows += [(3000, "repo0", "lib/parseOrderTree.py", ".py", camel), (3001, "repo0", "lib/CacheTree.py", ".py", python())]
+    rows += [(4000 + k, "repo1", f"src/{kebab()}.js", ".js", mangled_code().replace("}function", "}\nfunction").replace(";", ";\n").replace("{return", "{\nreturn")) for k in range(2)]
+    return rows
+
+
+def _flagged(spark, rows):
+    df = spark.createDataFrame(rows, "file_id long, repo string, relative_path string, extension string, content string")
+    return {r["file_id"]: r["reason"] for r in P.flagged_files(df).collect()}
+
+
+PLANTED = {1000: "vendored", 1001: "vendored", 1002: "vendored", 3000: "vendored", 3001: "vendored", 4000: "minified", 4001: "minified"}
+
+
+def test_models_and_styles_find_what_no_path_or_phrase_shows(spark):
+    assert _flagged(spark, styled_corpus()) == PLANTED
+
+
+def test_without_models_or_styles_planted_files_are_lost(spark, monkeypatch):
+    rows = styled_corpus()
+    with monkeypatch.context() as m:  # styles off
+        m.setattr(P, "_foreign_styles", lambda scored, *_: scored.where("false").select("file_id"))
+        assert set(_flagged(spark, rows)) == {4000, 4001}
+    with monkeypatch.context() as m:  # models off: names without a model have no entropy
+        m.setattr(P, "name_models", lambda files: {})
+        assert {i for i, why in _flagged(spark, rows).items() if why == PLANTED.get(i)} == set(PLANTED) - {4000, 4001}
+
+
+def test_without_paths_and_phrases_most_planted_files_are_found(spark):
+    """The planted files of both fixtures, moved to plain paths and without their comments' phrases."""
+    rows = [x for x in corpus() if x[4]] + styled_corpus()
+    planted = set(_flagged(spark, rows))
+    plain = [
+        (i, repo, f"src/part{i}{ext or ''}" if i < 200 else path, ext, P._ORIGIN.sub("", P._GENERATED.sub("", P._TOOL_OUTPUT.sub("", text))))
+        for i, repo, path, ext, text in rows
+    ]
+    assert len(planted & set(_flagged(spark, plain))) >= 0.75 * len(planted)
+
+
+def test_identifier_styles():
+    assert P.identifier_style([f"loadUser{k}x" for k in range(20)]) == "camel" and P.identifier_style([f"load_user_{k}" for k in range(20)]) == "snake"
+    assert P.identifier_style(["loadUser"]) == "" and P.identifier_style(["A_B"] * 30) == ""
