@@ -36,8 +36,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     print(f"repositories {result.repositories}, files {result.files}, chunks {result.chunks}, indexed {result.indexed}, failed {result.failed}")
     for e in result.errors[:SHOWN_ERRORS]:
         print(" ", e, file=sys.stderr)
-    if len(result.errors) > SHOWN_ERRORS:
-        print(f"  and {len(result.errors) - SHOWN_ERRORS} more", file=sys.stderr)
+    if result.failed > SHOWN_ERRORS:
+        print(f"  and {result.failed - SHOWN_ERRORS} more", file=sys.stderr)
     return 1 if result.failed else 0
 
 

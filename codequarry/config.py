@@ -39,7 +39,11 @@ class Embedding:
     provider: str = "local"
     dimension: int | None = None
     model: str | None = None
-    batch_size: int = 32
+    batch_size: int | None = None  # texts of one request
+    url: str = ""
+    api_key: str = ""
+    deployment: str = ""
+    api_version: str = "2024-02-01"
     # fixed values: vector sizes of the providers' default models
     DIMENSIONS = {"local": 384, "openai": 1536, "azure": 1536}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses as D
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -20,8 +21,9 @@ NOTHING_FOUND = "No excerpt of the code base matches the question. Say that, and
 
 
 def retrieve(chunks: DataFrame, query: list[float], k: int = 10, least: float = 0.5, filters: dict[str, str | None] | None = None) -> DataFrame:
-    """The k best chunks that also reach the least score."""
-    return min_score(search(chunks, query, k, filters), least)
+    """The k best chunks that also reach the least score, with `hits`: how many the search had found before."""
+    found = search(chunks, query, k, filters)
+    return min_score(found.withColumn("hits", F.count("*").over(W.partitionBy(F.lit(0)))), least)  # k rows
 
 
 def ranked(results: DataFrame) -> DataFrame:
@@ -82,15 +84,29 @@ def extractive(text: str, most: int) -> Iterator[str]:
     yield from (line.removeprefix("### ") + "\n" for line in text.split("\n") if line.startswith("### ["))
 
 
+def json_events(events: Iterator[tuple[str, object]]) -> Iterator[str]:
+    """A stream of events as server-sent lines: each one JSON object with its type and content."""
+    names = {"context": "sources", "text": "content", "error": "message"}
+    for kind, content in events:
+        body = {"type": kind, **({names[kind]: content} if kind in names else {}), **({"total": len(content)} if kind == "context" else {})}
+        yield f"data: {json.dumps(body, ensure_ascii=False)}\n\n"
+
+
 @D.dataclass
 class Answer:
     answer: str
     sources: list[dict]
 
 
+def kept_once(results: DataFrame) -> DataFrame:
+    """A result's few rows, fetched once, so that sources and prompt don't each run the search again."""
+    return results.sparkSession.createDataFrame(results.collect(), results.schema)
+
+
 def stream_answer(results: DataFrame, question: str, generate: Generator, most: int = 4096) -> Iterator[tuple[str, object]]:
-    """Events: `context` with the sources, `text` for each piece, then `done`; `error` ends the stream instead if the generator
-    fails. Only the k rows of the result reach the driver."""
+    """Events: `context` with the sources and how many there are, `text` for each piece, then `done`; `error` ends the stream instead
+    if the generator fails. Only the k rows of the result reach the driver, once."""
+    results = kept_once(results)
     kept = [r.asDict() for r in sources(results).collect()]
     yield "context", kept
     try:
@@ -103,5 +119,6 @@ def stream_answer(results: DataFrame, question: str, generate: Generator, most:
 
 
 def answer(results: DataFrame, question: str, generate: Generator, most: int = 4096) -> Answer:
+    results = kept_once(results)
     text = "".join(generate(prompt(results, question).first()["prompt"], most))
     return Answer(text, [r.asDict() for r in sources(results, with_text=True).collect()])

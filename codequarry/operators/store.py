@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses as D
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,12 +14,15 @@ from codequarry.schema import CODE_CHUNK
 from codequarry.session import cut
 
 
-def latest(rows: DataFrame, key: str = "id", order: list[str] = ("indexed_at",)) -> DataFrame:
+def latest(rows: DataFrame, key: str = "id", order: list[str] = ("indexed_at",), columns: list[str] | None = None) -> DataFrame:
     """The last delivery of each key; ties by the remaining columns of `order`. The last row is found by an aggregate that
-    combines before the shuffle, so a key delivered very often is no burden."""
-    rest = [c for c in rows.columns if c != key]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return newest.select(key, "_row.*").select(*rows.columns)
+    combines before the shuffle, so a key delivered very often is no burden. Only `columns` (all, if none are named), the key and
+    `order` are read and shuffled: name what is needed, and for a tie among texts order by a digest."""
+    rest = [c for c in (rows.columns if columns is None else columns) if c != key]
+    if not rest:
+        return rows.select(key).distinct()
+    newest = rows.select(*dict.fromkeys([key, *order, *rest])).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return newest.select(key, "_row.*").select(*(rows.columns if columns is None else dict.fromkeys([key, *rest])))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -28,6 +35,18 @@ def reindexed(old: DataFrame, new: DataFrame, repo: str) -> DataFrame:
     return old.where(~F.col("repo").eqNullSafe(repo)).unionByName(new)
 
 
+SHOWN_ERRORS = 10
+
+
+@D.dataclass
+class Upserted:
+    """What an upsert stored, what it could not store, and the first reasons."""
+
+    indexed: int
+    failed: int
+    errors: list[str]
+
+
 class ChunkStore:
     """Create, replace and drop. Replacing a repository is one commit of its partition, so a reader sees the old or the new
     rows, never neither."""
@@ -67,22 +86,34 @@ class ChunkStore:
         ready = chunks.select(*CODE_CHUNK.names)
         ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(self.path)
 
-    def upsert(self, chunks: DataFrame) -> None:
-        """Rows by id, the last of each id wins; only partitions of the repositories concerned are written."""
-        new = chunks.select(*CODE_CHUNK.names).dropDuplicates(["id"])
+    def upsert(self, chunks: DataFrame, order: list[str] = ()) -> Upserted:
+        """Rows by id; only partitions of the repositories concerned are written. Of several rows of an id the last by `order` (columns
+        of `chunks`, as a table has no order of its own) wins; without one, the greatest by all columns, so that a repeated run
+        gives the same. Rows without id or repository can't be stored: they are counted and the first of them named."""
+        usable = F.col("id").isNotNull() & F.col("repo").isNotNull()
+        bad = cut(chunks.where(~usable).select("id", "repo", "path"))
+        errors = [f"{r['repo']}/{r['path']}: no {'id' if r['id'] is None else 'repository'}" for r in bad.limit(SHOWN_ERRORS).collect()]
+        columns = [c for c in CODE_CHUNK.names if c not in order]
+        new = cut(latest(chunks.where(usable), "id", [*order, *(c for c in columns if c != "id")], list(CODE_CHUNK.names)))
         touched = [r[0] for r in new.select("repo").distinct().collect()]  # repositories, not rows
-        old = self.read(embedding=True).where(F.col("repo").isin(touched))
-        self.replace(cut(upserted(old, new)))
+        if touched:
+            old = self.read(embedding=True).where(F.col("repo").isin(touched))
+            self.replace(cut(upserted(old, new)))
+        return Upserted(new.count(), bad.count(), errors)
 
     def delete_repo(self, repo: str) -> int:
-        """The number of deleted rows."""
-        n = self.read().where(F.col("repo") == repo).count()
-        fs, _ = self._fs()
-        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("repo", repo)
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{escaped}")
-        if fs.exists(target):
-            fs.delete(target, True)
-        self.spark.catalog.refreshByPath(self.path)
+        """The number of deleted rows. The partition's directory is first moved aside in one step, under a name that readers skip: they
+        see all of the repository's rows or none."""
+        own = self.read().where(F.col("repo") == repo)
+        n = own.count()
+        if n:
+            fs, root = self._fs()
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            place = path(unquote(own.select(F.input_file_name()).first()[0])).getParent()
+            aside = path(root, f"_deleted-{uuid.uuid4().hex}")
+            if fs.rename(place, aside):
+                fs.delete(aside, True)
+            self.spark.catalog.refreshByPath(self.path)
         return n
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import globs, languages, text
 from codequarry.operators import aggregates, chunking, embedding, rag, render, search, store
-from codequarry.session import table
+from codequarry.schema import RESULT_COLUMNS
+from codequarry.session import spread, table
 from codequarry.sources.repos import with_overrides
 
 K = 20
@@ -21,12 +22,14 @@ IGNORE = ["node_modules/", "dist/", "# built files", "*.log", "/build", "tools/b
 QUESTION = "Which function releases the buffer of the oldest session?"
 
 
-def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.latest(table(spark, sf_dir, "code_chunks"), "id", ["indexed_at", "text"])
+def current_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The last delivery of each chunk, with the columns that a query needs; texts decide ties only where they are read anyway."""
+    order = ["indexed_at", *(["text"] if "text" in columns else [])]
+    return store.latest(table(spark, sf_dir, "code_chunks"), "id", order, list(columns))
 
 
-def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.latest(table(spark, sf_dir, "source_files"), "file_id", ["scanned_at"])
+def current_files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return store.latest(table(spark, sf_dir, "source_files"), "file_id", ["scanned_at"], list(columns))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,31 +62,36 @@ def knn_batch(spark, sf_dir):
 
 def knn_index(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return search.batch_top_k(rows, rows.where("id % 20 = 0"), 10, index=search.ListIndex(rows, lists=16, probe=13))
+    return search.batch_top_k(rows, rows.where("id % 20 = 0"), 10, index=search.CodeIndex(rows))
 
 
 def knn_index_recall(spark, sf_dir):
-    return search.recall(knn_batch(spark, sf_dir), knn_index(spark, sf_dir))
+    """The index's recall, and the share of all rows whose vectors each query compares."""
+    found = search.recall(knn_batch(spark, sf_dir), knn_index(spark, sf_dir))
+    share = _vectors(spark, sf_dir).agg(F.least(F.lit(1.0), F.lit(10.0 * 10) / F.count("embedding")).alias("compared"))
+    return found.withColumn("compared", F.lit(share.first()["compared"]))
 
 
 def repo_list(spark, sf_dir):
-    return aggregates.list_repositories(current_chunks(spark, sf_dir))
+    return aggregates.list_repositories(current_chunks(spark, sf_dir, "repo"))
 
 
 def repo_stats(spark, sf_dir):
-    return aggregates.repo_stats(current_chunks(spark, sf_dir))
+    return aggregates.repo_stats(current_chunks(spark, sf_dir, "repo", "language", "symbol_type"))
 
 
 def repo_count(spark, sf_dir):
-    chunks = current_chunks(spark, sf_dir)
+    chunks = current_chunks(spark, sf_dir, "repo")
     return chunks.groupBy("repo").agg(F.count("*").alias("chunks")).agg(F.sum("chunks").alias("chunks"), F.count("repo").alias("repositories"))
 
 
 def _one_file(spark, sf_dir) -> DataFrame:
-    """The chunks of the file with the most of them."""
-    chunks = current_chunks(spark, sf_dir)
+    """The chunks of the file with the most of them. All deliveries of an id are of one file, so the others are left out first."""
+    chunks = current_chunks(spark, sf_dir, "repo", "path")
     most = chunks.groupBy("repo", "path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "repo", "path").first()
-    return aggregates.file_chunks(chunks, *((most["repo"], most["path"]) if most else ("", "")))
+    place = (most["repo"], most["path"]) if most else ("", "")
+    rows = table(spark, sf_dir, "code_chunks").where((F.col("repo") == place[0]) & (F.col("path") == place[1]))
+    return aggregates.file_chunks(store.latest(rows, "id", ["indexed_at", "text"]), *place)
 
 
 def file_chunks(spark, sf_dir):
@@ -91,17 +99,17 @@ def file_chunks(spark, sf_dir):
 
 
 def chunk_whole_file(spark, sf_dir):
-    made = chunking.whole_file_chunks(current_files(spark, sf_dir))
+    made = chunking.whole_file_chunks(current_files(spark, sf_dir, "repo", "relative_path", "language", "content"))
     return made.select("repo", "path", "symbol_type", "symbol_name", "start_line", "end_line", F.md5("text").alias("digest"))
 
 
 def chunk_symbols(spark, sf_dir):
-    made = chunking.chunk_files(current_files(spark, sf_dir).withColumn("language", languages.language_of(F.col("extension"))))
+    made = chunking.chunk_files(current_files(spark, sf_dir, "repo", "relative_path", "extension", "content").withColumn("language", languages.language_of(F.col("extension"))))
     return made.select("repo", "path", "symbol_type", "symbol_name", "signature", "start_line", "end_line", F.md5("text").alias("digest"), "error")
 
 
 def chunk_split(spark, sf_dir):
-    return chunking.split_lines(current_files(spark, sf_dir).where(text.has_content(F.col("content"))), 200, 40)
+    return chunking.split_lines(current_files(spark, sf_dir, "content").where(text.has_content(F.col("content"))), 200, 40)
 
 
 def token_estimate(spark, sf_dir):
@@ -113,7 +121,7 @@ def token_estimate(spark, sf_dir):
 def chunk_digest(spark, sf_dir):
     c = F.col
     key = text.chunk_digest(c("repo"), c("path"), c("symbol_name"), c("start_line"), c("commit_sha"))
-    return current_chunks(spark, sf_dir).select("id", key.alias("digest"))
+    return current_chunks(spark, sf_dir, "repo", "path", "symbol_name", "start_line", "commit_sha").select("id", key.alias("digest"))
 
 
 def truncate(spark, sf_dir):
@@ -121,17 +129,17 @@ def truncate(spark, sf_dir):
 
 
 def line_slice(spark, sf_dir):
-    files, c = current_files(spark, sf_dir), F.col("content")
+    files, c = current_files(spark, sf_dir, "content"), F.col("content")
     return files.select("file_id", text.line_count(c).alias("lines"), F.md5(text.line_slice(c, F.lit(2), F.lit(6))).alias("digest"), text.line_of_offset(c, F.lit(100)).alias("line_at_100"))
 
 
 def glob_include_exclude(spark, sf_dir):
-    files = current_files(spark, sf_dir)
+    files = current_files(spark, sf_dir, "relative_path")
     return files.where(globs.matches_paths(F.col("relative_path"), INCLUDE, EXCLUDE)).select("file_id", "relative_path")
 
 
 def gitignore_filter(spark, sf_dir):
-    return current_files(spark, sf_dir).select("file_id", globs.is_ignored(F.col("relative_path"), IGNORE).alias("ignored"))
+    return current_files(spark, sf_dir, "relative_path").select("file_id", globs.is_ignored(F.col("relative_path"), IGNORE).alias("ignored"))
 
 
 def repo_glob(spark, sf_dir):
@@ -140,39 +148,40 @@ def repo_glob(spark, sf_dir):
 
 
 def lang_detect(spark, sf_dir):
-    files = current_files(spark, sf_dir).select("file_id", text.extension(F.col("relative_path")).alias("suffix"), text.base_name(F.col("relative_path")).alias("name"))
+    files = current_files(spark, sf_dir, "relative_path").select("file_id", text.extension(F.col("relative_path")).alias("suffix"), text.base_name(F.col("relative_path")).alias("name"))
     language = languages.language_of(F.col("suffix"))
     return files.select("file_id", "suffix", "name", language.alias("language"), languages.has_parser(language).alias("parsed"))
 
 
 def upsert_dedupe(spark, sf_dir):
-    return current_chunks(spark, sf_dir).select("id", "repo", F.unix_micros("indexed_at").alias("indexed_us"), F.md5("text").alias("digest"))
+    rows = table(spark, sf_dir, "code_chunks").withColumn("digest", F.md5("text"))
+    return store.latest(rows, "id", ["indexed_at", "digest"], ["repo", "indexed_at", "digest"]).select("id", "repo", F.unix_micros("indexed_at").alias("indexed_us"), "digest")
 
 
 def _largest_repo(spark, sf_dir) -> str:
-    most = aggregates.list_repositories(current_chunks(spark, sf_dir), 1).first()
+    most = aggregates.list_repositories(current_chunks(spark, sf_dir, "repo"), 1).first()
     return most["repo"] if most else ""
 
 
 def delete_repo(spark, sf_dir):
-    chunks = current_chunks(spark, sf_dir).select("id", "repo")
+    chunks = current_chunks(spark, sf_dir, "repo")
     return store.reindexed(chunks, chunks.where("false"), _largest_repo(spark, sf_dir))
 
 
 def reindex_repo(spark, sf_dir):
-    chunks, name = current_chunks(spark, sf_dir).select("id", "repo", "text"), _largest_repo(spark, sf_dir)
+    chunks, name = current_chunks(spark, sf_dir, "repo", "text"), _largest_repo(spark, sf_dir)
     new = chunks.where(F.col("repo") == name).withColumn("text", F.upper("text"))
     return store.reindexed(chunks, new, name).select("id", "repo", F.md5("text").alias("digest"))
 
 
 def upsert_chunks(spark, sf_dir):
-    chunks = current_chunks(spark, sf_dir).select("id", "repo", "text")
+    chunks = current_chunks(spark, sf_dir, "repo", "text")
     new = chunks.where("length(text) > 1500").withColumn("text", F.concat(F.lit("new "), "text"))
     return store.upserted(chunks, new).select("id", F.md5("text").alias("digest"))
 
 
 def incremental_files(spark, sf_dir):
-    files = current_files(spark, sf_dir)
+    files = current_files(spark, sf_dir, "repo", "relative_path", "content", "committed_at", "scanned_at")
     known = files.where("scanned_at < committed_at + interval 14 days").select("repo", "relative_path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
     return store.new_or_changed(files, known).select("file_id", "digest")
 
@@ -180,7 +189,7 @@ def incremental_files(spark, sf_dir):
 def _scored(spark, sf_dir) -> DataFrame:
     """A ranked result to project, prompt and render: the chunks nearest to the question by hashed words."""
     provider = embedding.HashingProvider(64)
-    chunks = current_chunks(spark, sf_dir)
+    chunks = current_chunks(spark, sf_dir, *(c for c in RESULT_COLUMNS if c not in ("id", "score")))
     return search.search(embedding.with_embeddings(chunks, provider), provider.embed(QUESTION), 10)
 
 
@@ -189,7 +198,7 @@ def search_code(spark, sf_dir):
 
 
 def sources_projection(spark, sf_dir):
-    chunks = current_chunks(spark, sf_dir).withColumn("score", F.round(F.col("end_line") / (F.col("end_line") + F.col("start_line")), 6))
+    chunks = current_chunks(spark, sf_dir, "repo", "path", "start_line", "end_line", "symbol_name").withColumn("score", F.round(F.col("end_line") / (F.col("end_line") + F.col("start_line")), 6))
     listed = rag.sources(chunks)
     return listed.withColumn("percent", text.percent(F.col("score"))).withColumn("shown", text.score_text(F.col("score"))).withColumn("band", text.score_band(F.col("score")))
 
@@ -226,19 +235,19 @@ def render_file_chunks(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    return embedding.hashed_weights(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    return embedding.hashed_weights(spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")), "doc_id", "text")
 
 
 def overrides_join(spark, sf_dir):
     repos = table(spark, sf_dir, "repositories")
     overrides = repos.where("microservice is not null").select("repo", "microservice", "tags")
-    files = current_files(spark, sf_dir).select("file_id", "repo", F.lit(None).cast("string").alias("microservice"), F.lit(None).cast("array<string>").alias("tags"))
+    files = current_files(spark, sf_dir, "repo").select("file_id", "repo", F.lit(None).cast("string").alias("microservice"), F.lit(None).cast("array<string>").alias("tags"))
     joined = with_overrides(files.withColumnRenamed("repo", "name"), overrides.withColumnRenamed("repo", "name"))
     return joined.select("file_id", F.col("name").alias("repo"), "microservice", F.array_join("tags", ",").alias("tags"))
 
 
 def ingest_totals(spark, sf_dir):
-    files, chunks = current_files(spark, sf_dir), current_chunks(spark, sf_dir)
+    files, chunks = current_files(spark, sf_dir, "repo", "content"), current_chunks(spark, sf_dir, "repo")
     by_file = files.groupBy("repo").agg(F.count("*").alias("files"), F.sum(F.when(~text.has_content(F.col("content")), 1).otherwise(0)).alias("failed"))
     by_chunk = chunks.groupBy("repo").agg(F.count("*").alias("chunks"))
     rows = by_file.join(by_chunk, "repo", "left").select("files", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chunks", F.lit(0)).alias("indexed"), "failed", F.array().cast("array<string>").alias("errors"))
@@ -252,7 +261,7 @@ def distinct_calls(spark, sf_dir):
 
 def late_scans(spark, sf_dir):
     """Files by repository and week of scan: the batch form of the streaming count."""
-    files = current_files(spark, sf_dir)
+    files = current_files(spark, sf_dir, "repo", "scanned_at", "n_bytes")
     week = F.date_format(F.date_trunc("week", "scanned_at"), "yyyy-MM-dd")
     return files.groupBy(week.alias("week"), "repo").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"))
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a cut table goes when nothing refers to it any more
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own setting, else (tests only) a fresh local one."""
+    """The shared checkpoint folder: the cluster's own setting. Only a local master may go without: its one machine then uses a fresh
+    local folder; on a cluster each executor would write to its own disk, so that is refused."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(named)
     return named
@@ -48,11 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over at least as many partitions as there are cores. A large table has far more input splits than cores and stays as
-    it is; only a plain scan of a few splits is moved, so that work on its rows isn't left to a few tasks. What a shuffle has
-    already spread is left to it: asking for its partitions would run it."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, for work on its rows that is long for their size. A table of fewer input splits than cores would leave cores idle,
+    so its rows are moved once: that is less than one split (128 MB) a core. Larger tables stay as they lie. What has been shuffled
+    is spread already and isn't handed here."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -29,21 +29,35 @@ def enumerate_files(spark: SparkSession, repo_path: str, include: list[str], exc
     prefix = os.path.abspath(repo_path).rstrip("/") + "/"
     files = listed.withColumn("absolute_path", absolute).withColumn("relative_path", F.expr(f"substring(absolute_path, {len(prefix) + 1})"))
     ignored = ignore_globs(ignore_rules(repo_path)) if use_gitignore else []
-    return (
-        files.where(matches_paths(F.col("relative_path"), include, [*exclude, *ignored]))
-        .withColumn("extension", extension(F.col("relative_path")))
-        .withColumn("language", language_of(F.col("extension")))
-        .where("language <> 'unknown'")
-        .select("absolute_path", "relative_path", "language", "extension", readable(F.col("content")).alias("content"))
-        .dropDuplicates(["absolute_path"])
-    )
+    return _known(files, include, [*exclude, *ignored]).select("absolute_path", "relative_path", "language", "extension", readable(F.col("content")).alias("content"))
 
 
 def enumerate_repositories(spark: SparkSession, repositories: list[tuple[str, str]], include: list[str], exclude: list[str] = (), use_gitignore: bool = True) -> DataFrame | None:
-    """The files of several repositories, with their name in `repo`. Rules differ by repository, so each is a scan of its own
-    in one union."""
-    out = None
+    """The files of several repositories, with their name in `repo`. Repositories under one parent directory with the same ignore
+    rules are one scan, whatever their number; there are as many scans as different sets of rules."""
+    alike: dict[tuple, list[tuple[str, str]]] = {}
     for name, path in repositories:
-        own = enumerate_files(spark, path, include, exclude, use_gitignore).withColumn("repo", F.lit(name))
-        out = own if out is None else out.unionByName(own)
+        rules = tuple(ignore_rules(path)) if use_gitignore else ()
+        alike.setdefault((os.path.dirname(os.path.abspath(path)), rules), []).append((name, os.path.basename(os.path.abspath(path))))
+    out = None
+    for (parent, rules), own in alike.items():
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{parent}/{folder}" for _, folder in own])
+        files = listed.withColumn("absolute_path", F.regexp_replace("path", "^[a-z]+:(?://)?", ""))
+        below = F.substring(F.col("absolute_path"), len(parent.rstrip("/")) + 2, 1 << 30)
+        names = F.create_map(*[F.lit(x) for name, folder in own for x in (folder, name)])
+        files = files.withColumn("repo", F.element_at(names, F.substring_index(below, "/", 1))).withColumn("relative_path", F.regexp_replace(below, "^[^/]*/", ""))
+        found = _known(files, include, [*exclude, *ignore_globs(list(rules))]).select("absolute_path", "relative_path", "language", "extension", readable(F.col("content")).alias("content"), "repo")
+        out = found if out is None else out.unionByName(found)
     return out
+
+
+def _known(files: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
+    """The files of a known language that pass the patterns, with `extension` and `language`."""
+    passed = files.where(matches_paths(F.col("relative_path"), include, exclude)).withColumn("extension", extension(F.col("relative_path")))
+    return passed.withColumn("language", language_of(F.col("extension"))).where("language <> 'unknown'")
+
+
+def read_file(spark: SparkSession, repo_path: str, relative_path: str) -> str:
+    """The text of one file of a repository."""
+    row = spark.read.format("binaryFile").load(f"{repo_path.rstrip('/')}/{relative_path}").select(readable(F.col("content")).alias("content")).first()
+    return row["content"]

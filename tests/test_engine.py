@@ -122,11 +122,11 @@ def test_batch_search_equals_brute_force(spark):
         assert [r["neighbour"] for r in sorted((r for r in found if r["query"] == q), key=lambda r: r["rank"])] == want
 
 
-def test_list_index_keeps_recall(spark):
+def test_index_keeps_recall(spark):
     _, rows = vectors(spark, 600)
     queries = rows.where("id % 20 = 0")
     exact = search.batch_top_k(rows, queries, 10)
-    near = search.batch_top_k(rows, queries, 10, index=search.ListIndex(rows, lists=12, probe=9))
+    near = search.batch_top_k(rows, queries, 10, index=search.CodeIndex(rows))
     assert search.recall(exact, near).first()["recall"] >= 0.9
 
 
@@ -186,3 +186,116 @@ def test_cli(spark, root, tmp_path, capsys):
     path.write_text(f"store: {{url: 'file://{tmp_path}/s'}}\nfiles: {{root: '{root}', include: ['**/*']}}\nembedding: {{dimension: 8}}\n")
     assert main(["setup-index", "-c", str(path)], spark) == 0 and main(["ingest", "--config", str(path), "--repo", "repo1"], spark) == 0
     assert "chunks 2" in capsys.readouterr().out and os.path.isdir(f"{tmp_path}/s/code-chunks")
+
+
+def test_upsert_keeps_the_last_by_order_whatever_the_rows_place(spark, tmp_path):
+    from codequarry.schema import CODE_CHUNK
+
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.create()
+
+    def chunks(rows):
+        base = spark.createDataFrame(rows, "id string, repo string, path string, text string, at int")
+        for c in CODE_CHUNK:
+            if c.name not in base.columns:
+                base = base.withColumn(c.name, F.lit(None).cast(c.dataType))
+        return base.coalesce(1)
+
+    first = store.upsert(chunks([("a", "r", "p", "new", 2), ("a", "r", "p", "old", 1), ("b", "r", "p", "x", 1), (None, "r", "q", "x", 1), ("c", None, "z", "x", 1)]), ["at"])
+    assert (first.indexed, first.failed) == (2, 2) and sorted(first.errors) == ["None/z: no repository", "r/q: no id"]
+    assert {r["id"]: r["text"] for r in store.read().collect()} == {"a": "new", "b": "x"}
+    store.upsert(chunks([("a", "r", "p", "newer", 4), ("a", "r", "p", "older", 3), ("d", "s'/=%", "p", "y", 1)]), ["at"])
+    assert {r["id"]: r["text"] for r in store.read().collect()} == {"a": "newer", "b": "x", "d": "y"}
+    assert store.delete_repo("s'/=%") == 1 and {r["id"] for r in store.read().collect()} == {"a", "b"}
+    assert store.upsert(chunks([("z", None, "p", "y", 1)])).indexed == 0
+
+
+def test_answers_fetch_the_search_once_and_stream_json(spark, indexed):
+    import json
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    rows = indexed[1].read(embedding=True)
+    found = rag.retrieve(rows, HashingProvider(32).embed("helper"), 3, 0.0)
+    assert {r["hits"] for r in found.collect()} == {3}
+    lines = list(rag.json_events(rag.stream_answer(found.withColumn("score", counted("score")), "helper", rag.extractive)))
+    assert calls.value == 3
+    events = [json.loads(x.removeprefix("data: ")) for x in lines]
+    assert events[0]["type"] == "context" and events[0]["total"] == 3 and events[-1] == {"type": "done"} and all(x.endswith("\n\n") for x in lines)
+
+
+def test_remote_requests_are_bounded_and_providers_disposed(spark):
+    from codequarry.operators.embedding import RemoteProvider
+
+    seen = []
+
+    def post(url, header, body):
+        seen.append((url, len(body["input"])))
+        return {"data": [{"index": k, "embedding": [float(len(t))]} for k, t in reversed(list(enumerate(body["input"])))]}
+
+    provider = RemoteProvider("azure", "https://a.example/", "k", "m", post, 1, batch_size=7, deployment="d", api_version="v")
+    assert provider.embed_all(["x" * k for k in range(20)]).ravel().tolist() == [float(k) for k in range(20)]
+    assert seen == [("https://a.example/openai/deployments/d/embeddings?api-version=v", n) for n in (7, 7, 6)]
+
+    class Once(HashingProvider):
+        disposed = spark.sparkContext.accumulator(0)
+
+        def dispose(self):
+            self.disposed.add(1)
+
+    with_embeddings(spark.createDataFrame([("a",)], "text string").coalesce(1), Once(4)).collect()
+    assert Once.disposed.value == 1
+
+
+def test_ingest_tells_progress_and_keeps_failures(spark, indexed, tmp_path, monkeypatch):
+    from codequarry.operators import chunking
+
+    class Broken:
+        languages = ("sql",)
+
+        def parse(self, text, path):
+            raise ValueError("bad")
+
+    monkeypatch.setattr(chunking, "default_parsers", lambda: {"sql": Broken()})
+    told = []
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    monkeypatch.setattr("codequarry.plans.ingest.chunk_files", lambda files, *a: chunking.chunk_files(files, *a, parsers={"sql": Broken()}))
+    result = ingest(spark, indexed[0], store, progress=lambda *x: told.append(x), batch=1)
+    assert result.failed == 1 and result.errors == ["repo2/src/q.sql: ValueError: bad"] and result.files == 4
+    assert told == [("parsed", 4, 4), ("indexed", 2, 2), ("indexed", 2, 2)]
+    assert [r["path"] for r in spark.read.parquet(f"{store.path}-failures").collect()] == ["src/q.sql"]
+
+
+def test_repositories_with_the_same_rules_are_one_scan(spark, tmp_path):
+    from codequarry.sources.files import enumerate_repositories, read_file
+
+    for k in range(5):
+        (tmp_path / f"d{k}" / "src").mkdir(parents=True)
+        (tmp_path / f"d{k}" / "src" / "a.py").write_text(f"x = {k}\n")
+    files = enumerate_repositories(spark, [(f"name{k}", str(tmp_path / f"d{k}")) for k in range(5)], ["**/*"])
+    assert files._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") + files._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") >= 1
+    assert {(r["repo"], r["relative_path"], r["content"]) for r in files.collect()} == {(f"name{k}", "src/a.py", f"x = {k}\n") for k in range(5)}
+    assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
+    assert read_file(spark, str(tmp_path / "d3"), "src/a.py") == "x = 3\n"
+
+
+def test_ranking_uses_full_scores(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 0.0])], "id long, embedding array<double>")
+    assert [r["id"] for r in search.top_k(rows, [1.0, 0.0], 2).collect()] == [2, 1]
+    three = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1e-4]), (2, [1.0, 1e-5])], "id long, embedding array<double>")
+    assert [r["neighbour"] for r in search.batch_top_k(three, three.where("id = 0"), 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from codequarry import session
+
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))), getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="share"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))

@@ -46,3 +46,19 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# what each query has to read of its table, and nothing more
+READS = {
+    "repo_list": {"id", "repo", "indexed_at"}, "repo_count": {"id", "repo", "indexed_at"}, "repo_stats": {"id", "repo", "language", "symbol_type", "indexed_at"}, "lang_detect": {"file_id", "relative_path", "scanned_at"},
+    "gitignore_filter": {"file_id", "relative_path", "scanned_at"}, "glob_include_exclude": {"file_id", "relative_path", "scanned_at"}, "late_scans": {"file_id", "repo", "scanned_at", "n_bytes"},
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_queries_read_only_what_they_need(spark, data, name):
+    import re
+
+    plan = Q.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    read = [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan)]
+    assert read and all(r <= READS[name] for r in read)
