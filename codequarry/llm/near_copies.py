@@ -1,17 +1,19 @@
 """Problem 5: near-duplicate records with small edits.
 
 `near_pairs` gives all pairs of rows whose sets of three-word runs overlap by at least 70 % (Jaccard) and that are not
-copies but for layout; `near_groups` the groups they form.
+copies but for layout; `near_groups` the groups they form; `near_classes` and `near_class_pairs` the same links without repeating
+them for every copy: each row's class, and pairs of classes by their smallest ids.
 
 How: one pass over the texts folds each set of word runs to MinHash samples, to band keys of four samples, and to an odd
 sketch (the samples' parity bitmap, whose XOR population count estimates high similarities). Rows with equal sets are
-one node from there on. Nodes that share a band key are candidates; the sketches of a candidate pair are XORed first,
-and only pairs whose estimate is near the threshold or above are counted exactly. Band keys held by more than `hot`
-nodes aren't paired within the key: their nodes go through an exact prefix join on rare runs, so a bucket of a third of
-all rows costs a join on rare runs instead of all its pairs, and loses none. Pairs are found between nodes and only
-expanded to the rows (`id`) at the end.
+one node from there on. Nodes that share a band key are candidates; first only the sketches of candidates travel and are XORed,
+then the sets of runs of those pairs whose estimate is near the threshold or above, which are counted exactly. Band keys held by
+more than `hot` nodes aren't paired within the key: their nodes go through an exact prefix join on rare runs, in which a run that very
+many of them share is split into blocks of nodes that meet block by block, and the sketches are XORed inside the join; so a bucket of
+a third of all rows loses no pair and emits only plausible ones. Pairs are found between nodes and only expanded to the rows (`id`)
+at the end, with the rows of a large node spread over slots on both sides.
 
-With 28 bands of 4 samples a pair at exactly 70 % is a candidate with probability 0.9995, above 75 % with 0.99998.
+With 32 bands of 4 samples a pair at exactly 70 % is a candidate with probability 0.9998, above 75 % with 0.99999.
 
 Defined cases: null texts and ids take no part; repeated rows of an id count once; texts under `least_words` words have
 no pairs; extra columns are ignored.
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,7 +36,7 @@ from codequarry.operators.components import connected_components
 from codequarry.session import cut, spread
 
 RUN, LEAST_WORDS, THRESHOLD = 3, 30, 0.7
-BANDS, ROWS, SKETCH_BITS = 28, 4, 512
+BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 
 _rng = np.random.default_rng(20260102)
@@ -155,39 +157,53 @@ def sketch_similarity(odd_bits: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log1p(-share)
 
 
-def _compared(threshold: float):
-    # three standard errors of the MinHash samples below the threshold: the sketch alone rejects nothing nearer
+def most_odd_bits(threshold: float) -> int:
+    """The most odd bits of a pair that may reach the threshold: three standard errors of the MinHash samples and the sketch's own
+    below it, so that the sketch alone rejects nothing nearer."""
     floor = threshold - 3 * math.sqrt(threshold * (1 - threshold) / SAMPLES) - 0.05
+    return int(np.flatnonzero(sketch_similarity(np.arange(SKETCH_BITS // 2)) >= floor).max())
+
+
+def _odd_bits(a: str, b: str) -> Column:
+    """The population count of the XOR of two sketch columns."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
+
+def _compared(threshold: float):
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, runs_a, runs_b) to the (a, b) whose sets overlap enough."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketches = [np.array(batch.column(k).flatten()).view(np.uint64).reshape(batch.num_rows, -1) for k in (2, 3)]
-            odd = np.bitwise_count(sketches[0] ^ sketches[1]).sum(axis=1)
             keep = []
-            a, b = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(sketch_similarity(odd) >= floor):
-                x, y = a[int(i)].values.to_numpy(), b[int(i)].values.to_numpy()
+            a, b = batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):
+                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= threshold * (len(x) + len(y) - common) - 1e-9:
-                    keep.append(int(i))
+                    keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return compare
 
 
-def _rare_run_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+def _rare_run_pairs(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """Exact candidates among nodes of hot band keys: two sets above the threshold share a run among each other's
-    rarest n - ceil(threshold * n) + 1 runs."""
+    rarest n - ceil(threshold * n) + 1 runs. A run that more than `block` nodes share is split into parts of about `block` nodes, and
+    each two parts meet in a group of their own."""
     runs = cut(nodes.select("s", F.size("runs").alias("n"), F.explode("runs").alias("r")))
-    df = runs.groupBy("r").agg(F.count("*").alias("df"))
+    df = runs.groupBy("r").agg(F.count("*").alias("df")).where("df > 1")
     order = W.partitionBy("s").orderBy("df", "r")
-    rare = runs.join(df.where("df > 1"), "r", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", F.row_number().over(order))
-    rare = cut(rare.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1").select("r", "s", "n"))
-    other = rare.select("r", F.col("s").alias("t"), F.col("n").alias("m"))
+    rare = runs.join(df, "r", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", F.row_number().over(order))
+    rare = rare.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")
+    parts = F.ceil(F.col("df") / block).cast("int")
+    rare = cut(rare.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")).join(nodes.select("s", "sketch"), "s").select("r", "s", "n", "sketch", "parts", "part"))
+    # part i as the left side of (i, j) for all j >= i, and as the right side of (j, i) for all j <= i
+    left = rare.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("r", "part", "other", "s", "n", "sketch")
+    right = rare.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("part")))).select("r", F.col("first").alias("part"), F.col("part").alias("other"), F.col("s").alias("t"), F.col("n").alias("m"), F.col("sketch").alias("sketch_t"))
     near = (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
-    return rare.join(other, "r").where((F.col("s") < F.col("t")) & near).select(F.col("s").alias("a"), F.col("t").alias("b")).distinct()
+    # within one part each pair comes in both orders, between two parts in one
+    once = (F.col("part") != F.col("other")) | (F.col("s") < F.col("t"))
+    close = left.join(right, ["r", "part", "other"]).where(once & (F.col("s") != F.col("t")) & near & (_odd_bits("sketch", "sketch_t") <= most_odd_bits(threshold)))
+    return close.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
 def _node_pairs(signed: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -199,16 +215,18 @@ def _node_pairs(signed: DataFrame, threshold: float, hot: int) -> DataFrame:
         few.select("key", F.col("s").alias("a")).join(few.select("key", F.col("s").alias("b")), "key").where("a < b").select("a", "b")
     )
     crowded = held.where(F.col("n") > hot).select("s").distinct()
-    nodes = signed.select("s", "runs").join(crowded, "s", "left_semi").dropDuplicates(["s"])
-    pairs = cut(pairs.unionByName(_rare_run_pairs(nodes, threshold)).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    facts = signed.select("s", "sketch", "runs").join(ends, "s", "left_semi").dropDuplicates(["s"])
-    side = lambda end: facts.select(F.col("s").alias(end), F.col("sketch").alias(f"sketch_{end}"), F.col("runs").alias(f"runs_{end}"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .select("a", "b", "sketch_a", "sketch_b", "runs_a", "runs_b")
-        .mapInArrow(_compared(threshold), "a long, b long")
-    )
+    nodes = cut(signed.select("s", "runs", "sketch").join(crowded, "s", "left_semi").dropDuplicates(["s"]))
+    pairs = cut(pairs.unionByName(_rare_run_pairs(nodes, threshold, hot)).distinct())
+
+    def both(of: DataFrame, column: str) -> DataFrame:
+        """The pairs with a column of each of their nodes; only nodes in a pair send theirs."""
+        ends = of.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        facts = signed.select("s", column).join(ends, "s", "left_semi").dropDuplicates(["s"])
+        side = lambda end: facts.select(F.col("s").alias(end), F.col(column).alias(f"{column}_{end}"))
+        return of.join(side("a"), "a").join(side("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+    likely = cut(both(pairs, "sketch").where(_odd_bits("sketch_a", "sketch_b") <= most_odd_bits(threshold)).select("a", "b"))
+    return both(likely, "runs").mapInArrow(_compared(threshold), "a long, b long")
 
 
 def _found(chunks: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +240,51 @@ def _several(members: DataFrame) -> DataFrame:
     return members.groupBy("s").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("s")
 
 
-def near_pairs(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300) -> DataFrame:
+def _expanded(nodes: DataFrame, members: DataFrame, slot_rows: int) -> DataFrame:
+    """(id_a, h1_a, h2_a, id_b, h1_b, h2_b) of all rows of the two nodes of each pair. The rows of a node with more than `slot_rows` are
+    spread over slots, on both sides, so that no task holds more than a slot of each at a time."""
+    sizes = members.groupBy("s").agg(F.ceil(F.count("*") / slot_rows).cast("int").alias("slots"))
+    slotted = cut(members.join(sizes, "s").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")).drop("slots"))
+    out = nodes
+    for end in ("a", "b"):
+        named = sizes.select(F.col("s").alias(end), "slots")
+        side = slotted.select(F.col("s").alias(end), "slot", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "h1", "h2")])
+        out = out.join(named, end).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots").join(side, [end, "slot"]).drop("slot")
+    return out
+
+
+def near_pairs(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300, slot_rows: int = 1000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs at or above the threshold that are not copies but for layout."""
     members, pairs = _found(chunks, threshold, hot)
     members = cut(members)
-    side = lambda end: members.select(F.col("s").alias(end), F.col("id").alias(f"id_{end}"), F.col("h1").alias(f"h1_{end}"), F.col("h2").alias(f"h2_{end}"))
     # equal sets of runs are pairs too, unless the texts are layout copies
     nodes = pairs.unionByName(_several(members).select(F.col("s").alias("a"), F.col("s").alias("b")))
-    both = nodes.join(side("a"), "a").join(side("b"), "b").where("h1_a <> h1_b or h2_a <> h2_b")
+    both = _expanded(nodes, members, slot_rows).where("h1_a <> h1_b or h2_a <> h2_b")
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
 
 
+def near_classes(chunks: DataFrame) -> DataFrame:
+    """(id, class_id): each row with enough words and the smallest id of its class, the rows that are copies but for layout and have the
+    same runs. With `near_class_pairs` it holds all links, in as many rows as there are texts and links between different ones."""
+    rows = with_block_flag(chunks.where("id is not null and text is not null")).select("id", "text", "_block")
+    members = spread(rows).mapInArrow(_signed, SIGNED).select("s", "id", "h1", "h2").distinct()
+    return _classes(cut(members)).select("id", "class_id")
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    least = members.groupBy("s", "h1", "h2").agg(F.min("id").alias("class_id"))
+    return members.join(least, ["s", "h1", "h2"])
+
+
+def near_class_pairs(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300, slot_rows: int = 1000) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: the pairs of classes at or above the threshold."""
+    members, pairs = _found(chunks, threshold, hot)
+    classes = cut(_classes(cut(members)).select("s", F.col("class_id").alias("id"), "h1", "h2").distinct())
+    nodes = pairs.unionByName(_several(classes).select(F.col("s").alias("a"), F.col("s").alias("b")))
+    both = _expanded(nodes, classes, slot_rows).where("h1_a <> h1_b or h2_a <> h2_b")
+    return both.select(F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b")).where("class_a < class_b").distinct()
+
+
 def near_groups(chunks: DataFrame, threshold: float = THRESHOLD, hot: int = 300) -> DataFrame:
     """(id, group_id, links): every row of a group of two or more different texts; `group_id` is the group's smallest
     id, `links` the number of other run sets that the row's own is linked with."""

@@ -50,6 +50,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_groups(table(spark, sf_dir, "code_chunks"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_classes(table(spark, sf_dir, "code_chunks"))
+
+
+def p5_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_class_pairs(table(spark, sf_dir, "code_chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf_dir, "code_chunks"))
 
@@ -94,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_pairs": p4_pairs,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p5_classes": p5_classes,
+        "p5_class_pairs": p5_class_pairs,
         "p6_found": p6_found,
         "p6_redacted": p6_redacted,
         "p7_packed": p7_packed,

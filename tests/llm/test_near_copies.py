@@ -99,3 +99,31 @@ def test_groups_hold_texts_that_differ_only_in_how_often_a_line_is_repeated(spar
     pairs = {tuple(r) for r in N.near_pairs(df).collect()}
     assert pairs == {("a", "b"), ("b", "c"), ("f", "g")}
     assert {tuple(r) for r in N.near_groups(df).collect()} == {("a", "a", 0), ("b", "a", 0), ("c", "a", 0), ("f", "f", 1), ("g", "f", 1)}
+
+
+def test_class_pairs_and_classes_hold_all_links(spark):
+    rows = corpus(7, families=6) + [(f"copy{k}", corpus(7, families=6)[3][1].upper() + "!" * k) for k in range(15)]
+    df = frame(spark, rows)
+    classes = {r["id"]: r["class_id"] for r in N.near_classes(df).collect()}
+    pairs = {(r["class_a"], r["class_b"]) for r in N.near_class_pairs(df).collect()}
+    assert all(classes[a] == a and classes[b] == b for a, b in pairs)
+    expanded = {tuple(sorted((x, y))) for a, b in pairs for x in classes if classes[x] == a for y in classes if classes[y] == b}
+    assert expanded == brute(rows) and len(pairs) < len(expanded)
+
+
+def test_large_nodes_are_expanded_over_slots(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(f"a{k:03d}", base + "." * k) for k in range(60)] + [(f"b{k:03d}", base + " tail" + "!" * k) for k in range(50)]
+    found = {(r["id_a"], r["id_b"]) for r in N.near_pairs(frame(spark, rows), slot_rows=7).collect()}
+    assert found == {(a, b) for a, _ in rows[:60] for b, _ in rows[60:]}
+
+
+def test_a_run_of_very_many_nodes_meets_block_by_block(spark):
+    """90 near-equal texts share nearly all their runs, rare ones included; blocks of 4 nodes still give every pair once."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(f"{k:02d}", " ".join(base[:40] + [f"n{r.randrange(9999)}"] + base[40:])) for k in range(90)]
+    assert {(x["id_a"], x["id_b"]) for x in N.near_pairs(frame(spark, rows), hot=4).collect()} == brute(rows)
+    keys = spark.createDataFrame([(k, [7, 100 + k], [0] * 8) for k in range(30)], "s long, runs array<int>, sketch array<long>")
+    got = [tuple(x) for x in N._rare_run_pairs(keys, 0.3, 4).collect()]
+    assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
