@@ -82,6 +82,10 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_report": p8_report,
+        "p8_overlap": p8_overlap,
         "p9_found": p9_found,
         "p9_repaired": p9_repaired,
     }

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -19,7 +20,7 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("seed, block", [(1, 20_000), (2, 7), (3, 1)])
+@pytest.mark.parametrize("seed, block", [(1, 1 << 24), (2, 1500), (3, 900)])
 def test_leaks_equal_brute_force(spark, seed, block):
     r = random.Random(seed)
     words = [f"w{k}" for k in range(25)]  # few words, so that runs of five meet by chance
@@ -46,17 +47,58 @@ def test_empty_tables(spark):
     assert K.leaked_items(docs, items).count() == 0 and K.leaked_items(docs.where("false"), items).count() == 0
 
 
-def test_search_returns_all_items_at_or_above_their_threshold():
+def index_of(spark, items):
+    df = spark.createDataFrame(items, "item_id long, text string")
+    postings, thresholds = K.bm25(df)
+    return K.ItemIndex([tuple(r) for r in df.join(thresholds, "item_id").select("item_id", "text", "threshold").collect()], [tuple(r) for r in postings.collect()])
+
+
+def test_weights_are_those_of_bm25(spark):
+    items = [(k, " ".join(random.Random(k).choices("abcdefgh", k=20 + k))) for k in range(9)]
+    index = index_of(spark, items)
+    own = {i: [tuple(w[k : k + 2]) for k in range(len(w) - 1)] for i, t in items for w in [t.split()]}
+    mean = sum(map(len, own.values())) / len(own)
+    df = {}
+    for pairs in own.values():
+        for p in set(pairs):
+            df[p] = df.get(p, 0) + 1
+
+    def weight(i, p):
+        n = own[i].count(p)
+        return math.log(1 + (9 - df[p] + 0.5) / (df[p] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own[i]) / mean))
+
+    want = sorted(round(weight(i, p), 9) for i in own for p in set(own[i]))
+    assert sorted(round(w, 9) for x in index.lists for _, w in x) == want
+    for k, (i, _) in enumerate(items):
+        least = min(sum(weight(i, p) for p in set(own[i][s : s + 11])) for s in range(len(own[i]) - 10))
+        assert abs(index.thresholds[k] - least) < 1e-6
+
+
+def test_search_returns_all_items_at_or_above_their_threshold_and_skips_blocks(spark):
     r = random.Random(9)
-    words = [f"w{k}" for k in range(6)]
-    index = K.ItemIndex([(k, " ".join(r.choice(words) for _ in range(40))) for k in range(300)])
-    for _ in range(60):
-        terms = r.sample(range(len(index.lists)), 12)
+    words = [f"w{k}" for k in range(9)]
+    # texts in order of how often their first words come, so that blocks differ in their greatest weights
+    index = index_of(spark, [(k, " ".join(r.choices(words, [1 + k] * 3 + [300 - k] * 6, k=r.randint(20, 80)))) for k in range(300)])
+    assert max(map(len, index.lists)) > 8 * K.BLOCK
+    found = 0
+    for _ in range(200):
+        terms = r.sample(range(len(index.lists)), r.randint(3, 14))
         scores = {}
         for t in terms:
             for item, w in index.lists[t]:
                 scores[item] = scores.get(item, 0) + w
-        assert sorted(index.search(terms)) == sorted(i for i, s in scores.items() if s >= index.thresholds[i])
+        got = index.search(terms)
+        assert sorted(got) == sorted(i for i, s in scores.items() if s >= index.thresholds[i])
+        found += len(got)
+    assert index.skipped > 0 and found > 0
+
+
+def test_questions_and_answers_are_verified_apart(spark):
+    asked, told = "Which one of the many small parts holds the key of the first old door?", "The blue part in the middle of the last row holds it until the second shift has ended."
+    items = spark.createDataFrame([(1, f"{asked} {told}", "s"), (2, "no question here but a long enough row of words to be found again", "s")], "item_id long, text string, item_set string")
+    docs = spark.createDataFrame([(1, f"x {asked.upper()} y"), (2, told), (3, f"{told} {asked}"), (4, "so: no question here but a long enough row of words to be found again"), (5, "nothing")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["question"], r["answer"]) for r in K.leak_overlap(docs, items).collect()}
+    assert found == {(1, 1): (1.0, 0.0), (2, 1): (0.0, 1.0), (3, 1): (1.0, 1.0), (4, 2): (None, 1.0)}
 
 
 def test_very_long_document(spark):
