@@ -207,9 +207,10 @@ def _rare_run_pairs(nodes: DataFrame, threshold: float, block: int) -> DataFrame
 
 
 def _node_pairs(signed: DataFrame, threshold: float, hot: int) -> DataFrame:
-    keys = signed.select("s", "bands").dropDuplicates(["s"]).select("s", F.explode("bands").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).where("n > 1"))
-    held = cut(keys.join(shared.where("n > 2").select("key", "n"), "key"))
+    # copies of a node repeat its keys; they are combined before the shuffle, and only make a key look hotter than it is
+    keys = signed.select("s", F.explode("bands").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b"))
+    held = cut(keys.join(shared.where("n > 2").select("key", "n"), "key").distinct())
     few = held.where(F.col("n") <= hot).select("key", "s")
     pairs = shared.where("n = 2").select("a", "b").unionByName(
         few.select("key", F.col("s").alias("a")).join(few.select("key", F.col("s").alias("b")), "key").where("a < b").select("a", "b")
