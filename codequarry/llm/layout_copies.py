@@ -4,10 +4,12 @@
 configuration files the heading must agree and the fields under it may stand in any order.
 
 How: the UTF-8 bytes of a whole Arrow batch run through one 256-entry table that skips (0) or folds (weight) each byte,
-straight into two rolling polynomial hashes; no canonical string is built. A block is hashed piece by piece (heading,
+straight into two rolling polynomial hashes; where other letters than ASCII's stand, bytes become code points and run through a
+second table in the same way. No canonical string is built. A block is hashed piece by piece (heading,
 keys, values) and its fields are summed, which makes their order irrelevant. Only (id, hash) is shuffled; the rows of
 groups of two or more are then compared with their group's first row by a two-pointer comparison that skips and folds
-as it goes, and rows that a hash collision had put there are grouped again by an exact digest.
+as it goes (fields of blocks in the order of their hashes), and rows that a hash collision had put there are grouped again by an
+exact digest of what the comparison sees.
 
 Defined cases: a null text or id is in no group; texts without any letter or digit are equal to each other; repeated
 rows of one id count once; ties are decided by the smallest id as text; other columns are ignored, so may bear any name.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +38,14 @@ _rng = np.random.default_rng(20260101)
 _WEIGHTS = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64)
 _BASES = _rng.integers(2**62, 2**63, size=2, dtype=np.uint64) | np.uint64(1)
 _KEPT = np.zeros(256, bool)
-for _b in range(256):
-    # bytes of non-ASCII characters arrive here already folded and freed of punctuation
-    _KEPT[_b] = chr(_b).isalnum() if _b < 128 else True
+for _b in range(128):
+    _KEPT[_b] = chr(_b).isalnum()
 _WEIGHTS[:, 65:91] = _WEIGHTS[:, 97:123]
 _WEIGHTS[:, ~_KEPT] = 0
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _RUN = re.compile(r"[0-9A-Za-z]+|[^\x00-\x7f]+")
-
-
-def _fold_wide(match: re.Match) -> str:
-    return "".join(c for c in match[0].lower() if c.isalnum())
+_LAST_LETTER = 0x323B0  # above are no letters or digits
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -55,27 +54,63 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _fold(sign: str) -> str:
+    """A letter or digit in lower case, by itself; nothing for what is skipped."""
+    return next((c for c in sign.lower() if c.isalnum()), "")
+
+
+@lru_cache(1)
+def _wide_table() -> np.ndarray:
+    """The folded code point of every letter and digit, 0 for what is skipped."""
+    return np.array([ord(_fold(chr(code)) or "\0") for code in range(_LAST_LETTER)], np.uint32)
+
+
+def _code_points(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the place of each one's first byte."""
+    at = np.flatnonzero((part & 0xC0) != 0x80)
+    size = np.diff(np.append(at, part.size))
+    wide = np.concatenate([part, np.zeros(3, np.uint8)]).astype(np.uint32)
+    first, out = wide[at], wide[at].copy()
+    for n, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        own = size == n
+        value = first[own] & mask
+        for k in range(1, n):
+            value = value << 6 | wide[at[own] + k] & 0x3F
+        out[own] = value
+    return out, at
+
+
+def _signs(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept?, weights of shape (2, signs), where each text begins) of the signs of some texts' bytes; `at`: where each begins there."""
+    if not part.size or part.max() < 128:
+        return _KEPT[part], _WEIGHTS[:, part], at
+    codes, places = _code_points(part)
+    table = _wide_table()
+    folded = np.where(codes < _LAST_LETTER, table[np.minimum(codes, _LAST_LETTER - 1)], 0)
+    weights = np.stack([_mix(folded.astype(np.uint64) * _BASES[k] + np.uint64(3)) for k in (0, 1)])
+    ascii_signs = folded < 128
+    weights[:, ascii_signs] = _WEIGHTS[:, folded[ascii_signs]]
+    return folded > 0, weights, np.searchsorted(places, at)
+
+
 def rolling_hashes(texts: pa.Array) -> np.ndarray:
     """Two 64-bit polynomial hashes of the letters and digits of each text, shape (2, rows)."""
     flat, offsets = utf8_buffer(texts)
-    if flat.size and flat.max() >= 128:
-        folded = [_NON_ASCII.sub(_fold_wide, t) if t and not t.isascii() else (t or "") for t in texts.to_pylist()]
-        flat, offsets = utf8_buffer(pa.array(folded, pa.large_string()))
     out = np.zeros((2, len(offsets) - 1), np.uint64)
     for start, end in windows(offsets, 1 << 18):
         part = flat[offsets[start] : offsets[end]]
         if not part.size:
             continue
-        at = offsets[start:end] - offsets[start]
-        rank = np.cumsum(_KEPT[part])
-        before = np.concatenate(([0], rank))[at]
-        sizes = np.diff(offsets[start : end + 1])
+        kept, weights, at = _signs(part, offsets[start : end + 1] - offsets[start])
+        rank = np.cumsum(kept)
+        before = np.concatenate(([0], rank))[at[:-1]]
+        sizes = np.diff(at)
         rank -= np.repeat(before, sizes)
         rank[rank < 0] = 0
         full = sizes > 0
         for k in (0, 1):
-            step = _WEIGHTS[k][part] * _powers(_BASES[k], int(rank.max()) + 1)[rank]
-            out[k, start:end][full] = np.add.reduceat(step, at[full])
+            step = weights[k] * _powers(_BASES[k], int(rank.max()) + 1)[rank]
+            out[k, start:end][full] = np.add.reduceat(step, at[:-1][full])
     return out
 
 
@@ -194,9 +229,7 @@ def layout_hashes(texts: pa.Array, is_block: np.ndarray) -> np.ndarray:
 
 def _runs(text: str) -> Iterator[str]:
     for m in _RUN.finditer(text):
-        run = m[0].lower()
-        if not run.isascii():
-            run = "".join(c for c in run if c.isalnum())
+        run = m[0].lower() if m[0].isascii() else "".join(map(_fold, m[0]))
         if run:
             yield run
 
@@ -217,29 +250,45 @@ def same_but_layout(a: str, b: str) -> bool:
         x, y = x[n:], y[n:]
 
 
-def _folded(text: str) -> str:
-    return "".join(_runs(text))
+def _field_hashes(fields: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    hashed = rolling_hashes(pa.array([piece for field in fields for piece in field], pa.large_string()))[0].tolist()
+    return list(zip(hashed[0::2], hashed[1::2], strict=True))
 
 
 def same_block(a: str, b: str) -> bool:
+    """Equal headings, and equal fields in any order: fields meet in the order of their hashes and are compared like whole texts."""
     if a == b:
         return True
     (head_a, fields_a), (head_b, fields_b) = block_fields(a), block_fields(b)
     if len(fields_a) != len(fields_b) or not same_but_layout(head_a, head_b):
         return False
-    order = lambda fields: sorted((_folded(k), _folded(v)) for k, v in fields)
-    return order(fields_a) == order(fields_b)
+    waiting: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for own, field in zip(_field_hashes(fields_b), fields_b, strict=True):
+        waiting.setdefault(own, []).append(field)
+    for own, (key, value) in zip(_field_hashes(fields_a), fields_a, strict=True):
+        others = waiting.get(own, [])
+        k = next((k for k, (x, y) in enumerate(others) if same_but_layout(key, x) and same_but_layout(value, y)), None)
+        if k is None:
+            return False
+        others.pop(k)
+    return True
 
 
-def exact_digest(text: str, is_block: bool) -> str:
+def _digest(*pieces: str) -> bytes:
+    """Of the runs of some pieces, fed one by one."""
     h = hashlib.blake2b(digest_size=16)
-    if is_block:
-        heading, fields = block_fields(text)
-        h.update(repr((_folded(heading), sorted((_folded(k), _folded(v)) for k, v in fields))).encode())
-    else:
-        for run in _runs(text):
+    for piece in pieces:
+        for run in _runs(piece):
             h.update(run.encode())
-    return h.hexdigest()
+        h.update(b"\0")
+    return h.digest()
+
+
+def exact_digest(text: str, is_block: bool) -> str:
+    if not is_block:
+        return _digest(text).hex()
+    heading, fields = block_fields(text)
+    return hashlib.blake2b(_digest(heading) + b"".join(sorted(_digest(k, v) for k, v in fields)), digest_size=16).hexdigest()
 
 
 def with_block_flag(chunks: DataFrame) -> DataFrame:

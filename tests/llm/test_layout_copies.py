@@ -65,7 +65,7 @@ def test_collisions_are_split_exactly(spark, monkeypatch):
 @given(st.text(max_size=40), st.text(max_size=40))
 def test_hash_and_comparison_agree_with_canonical_text(a, b):
     def canon(t):
-        return "".join(c for run in L._NON_ASCII.sub(L._fold_wide, t).lower() for c in run if c.isalnum())
+        return "".join(next((c for c in sign.lower() if c.isalnum()), "") for sign in t)
 
     h = L.rolling_hashes(pa.array([a, b], pa.string()))
     same = canon(a) == canon(b)
@@ -83,3 +83,33 @@ def test_long_text_over_several_windows():
 @pytest.mark.parametrize("text, fields", [("a:\n  b: 1\n  c:\n    d: 2\n    e: 3", 2), ("[s]\nx = 1\ny=2", 2), ('{"a": {"b": [1, 2], "c": {"d": 1}}}', 2), ("a=1\nb=2", 2), ("", 0), ("{", 0)])
 def test_block_fields(text, fields):
     assert len(L.block_fields(text)[1]) == fields
+
+
+WIDE = ["Ünïcode É", "ünïcode, é", "İstanbul", "istanbul", "straße", "STRASSE", "日本 語", "日本語", "a–b", "ab", "x\U00020000y", "X \U00020000 Y", "\U0001f389 done", "DONE", "ﬁ", "fi", "٣", "3", "e\u0301", "e", "Ǆ", "ǆ", "ǅ", "", "…", "Σς", "σς"]
+
+
+def test_wide_letters_are_folded_by_the_table():
+    """Hashes agree exactly where the letters and digits, in lower case, do."""
+    import pyarrow as pa
+
+    folded = ["".join(c for c in t.lower() if c.isalnum()) for t in WIDE]
+    for texts in (WIDE, WIDE[::-1], [t for t in WIDE if t.isascii()]):
+        hashed = list(zip(*L.rolling_hashes(pa.array(texts, pa.large_string())).tolist(), strict=True))
+        own = [folded[WIDE.index(t)] for t in texts]
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert (hashed[i] == hashed[j]) == (own[i] == own[j]), (texts[i], texts[j])
+    one = L.rolling_hashes(pa.array(["done"], pa.large_string()))[:, 0]
+    assert (L.rolling_hashes(pa.array(["DONE \U0001f389"], pa.large_string()))[:, 0] == one).all()
+
+
+def test_blocks_are_compared_by_fields_and_digested_alike():
+    a, b, c = "s:\n  a: 1\n  b: É x\n  a: 2\n", "S:\n  a: 2\n  b: é, X\n  A: 1\n", "s:\n  a: 1\n  b: É x\n  a: 1\n"
+    assert L.same_block(a, b) and not L.same_block(a, c)
+    assert L.exact_digest(a, True) == L.exact_digest(b, True) != L.exact_digest(c, True)
+    assert L.exact_digest("Ab c", False) == L.exact_digest("a-BC", False) != L.exact_digest("ab", False)
+
+
+def test_colliding_fields_are_told_apart(monkeypatch):
+    monkeypatch.setattr(L, "_field_hashes", lambda fields: [(0, 0)] * len(fields))
+    assert L.same_block("s:\n  a: 1\n  b: 2\n", "s:\n  b: 2\n  a: 1\n") and not L.same_block("s:\n  a: 1\n  b: 2\n", "s:\n  b: 2\n  a: 3\n")
