@@ -3,9 +3,9 @@
 `documented_functions` gives one row for each function or method of Python, TypeScript, JavaScript and Java files that is
 really described: (file_id, symbol_name, name_line, signature, doc_comment, text).
 
-How: a lexer that knows strings, template literals, regular expressions and comments walks each file once. What follows
-a documentation comment (or, in Python, each `def`) is matched as a declaration, brackets are counted by the same lexer
-to delimit header and body, and the docstring or the comment that ends directly above the declaration, its decorators and
+How: a lexer that knows strings, template literals (with code nested in them to any depth), regular expressions and comments walks
+each file once and notes which bracket closes which. What follows a documentation comment (or, in Python, each `def`) is matched as
+a declaration, the noted brackets delimit header and body, however large, and the docstring or the comment that ends directly above the declaration, its decorators and
 annotations is attached. Files that no grammar accepts (problem 1) are left out. Files are independent: one scan, no
 shuffle but for repeated rows.
 
@@ -18,7 +18,9 @@ Defined cases: null contents or ids give no row; repeated rows of a file count o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,13 +54,70 @@ def described(raw: str, name: str) -> bool:
 
 # --- languages with braces ------------------------------------------------------------------------------------------
 _LITERAL = r""""(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'"""
-_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*`"
 _REGEX = r"(?<=[=(,:;!&|?+\[])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/"
 _BLOCK = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-_SCRIPT_LEX = re.compile(rf"(?P<block>{_BLOCK})|(?P<line>//[^\n]*)|{_LITERAL}|{_TEMPLATE}|{_REGEX}")
-_JAVA_LEX = re.compile(rf'(?P<block>{_BLOCK})|(?P<line>//[^\n]*)|"""[^\\"]*(?:(?:\\[\s\S]|"(?!""))[^\\"]*)*"""|{_LITERAL}')
-_SCRIPT_BRACKETS = re.compile(rf"{_BLOCK}|//[^\n]*|{_LITERAL}|{_TEMPLATE}|{_REGEX}|([(\[{{])|([)\]}}])|(=>)|([;,])")
-_JAVA_BRACKETS = re.compile(rf'{_BLOCK}|//[^\n]*|"""[^\\"]*(?:(?:\\[\s\S]|"(?!""))[^\\"]*)*"""|{_LITERAL}|([(\[{{])|([)\]}}])|(->)|([;,])')
+_SIGNS = r"(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>[;,])"
+_SCRIPT_LEX = re.compile(rf"(?P<block>{_BLOCK})|(?P<line>//[^\n]*)|{_LITERAL}|(?P<tick>`)|{_REGEX}|{_SIGNS}")
+_JAVA_LEX = re.compile(rf'(?P<block>{_BLOCK})|(?P<line>//[^\n]*)|"""[^\\"]*(?:(?:\\[\s\S]|"(?!""))[^\\"]*)*"""|{_LITERAL}|{_SIGNS}')
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
+
+
+class Signs:
+    """What one walk over a file finds: its comments, which bracket closes which, and the commas and semicolons between."""
+
+    def __init__(self, text: str, lexer: re.Pattern):
+        self.text = text
+        self.comments: list[tuple[int, int, bool]] = []  # start, end, a line comment?
+        self.closes: dict[int, int] = {}  # an opening bracket's position to the one behind its closing bracket
+        self.opens: dict[int, int] = {}  # a closing bracket's position to that of its opening one
+        self.places: list[int] = []  # of brackets, commas and semicolons
+        stack: list[int] = []
+        pos = 0
+        while m := lexer.search(text, pos):
+            kind, start, pos = m.lastgroup, m.start(), m.end()
+            if kind == "open":
+                stack.append(start)
+                self.places.append(start)
+            elif kind == "close":
+                if stack and stack[-1] < 0:  # the end of code in a template literal
+                    stack.pop()
+                    pos = self._template(pos, stack)
+                    continue
+                self.places.append(start)
+                if stack:
+                    opened = stack.pop()
+                    self.closes[opened], self.opens[start] = pos, opened
+            elif kind == "mark":
+                self.places.append(start)
+            elif kind == "tick":
+                pos = self._template(pos, stack)
+            elif kind:
+                self.comments.append((start, pos, kind == "line"))
+
+    def _template(self, pos: int, stack: list[int]) -> int:
+        """The position where a template literal that goes on at pos ends, or code in it begins."""
+        end = _TEMPLATE.match(self.text, pos).end()
+        if self.text.startswith("${", end):
+            stack.append(-1)
+            return end + 2
+        return end + 1
+
+    def closing(self, pos: int) -> int:
+        """The position behind the bracket that closes the one at pos, or -1."""
+        return self.closes.get(pos, -1)
+
+    def end_of_expression(self, pos: int) -> int:
+        """The first comma, semicolon or closing bracket from pos on that isn't inside brackets."""
+        k = bisect_left(self.places, pos)
+        while k < len(self.places):
+            at = self.places[k]
+            closed = self.closes.get(at)
+            if closed is None:
+                return at
+            k = bisect_left(self.places, closed, k)
+        return len(self.text)
+
+
 _ID = r"[A-Za-z_$\u0080-￿][\w$]*"
 _GAP = rf"(?:\s|{_BLOCK}|//[^\n]*\n)*"
 _DECORATOR = re.compile(rf"[ \t]*@(?!interface\b){_ID}(?:\s*\.\s*{_ID})*[ \t]*(\()?")
@@ -72,32 +131,24 @@ _JAVA_METHOD = re.compile(
 _JAVA_NOT = re.compile(r"(?:return|throw|new|else|case|yield|assert|do|try|if|for|while|switch|catch|synchronized\s*\(|super|this)\b")
 
 
-def _closing(text: str, pos: int, brackets: re.Pattern) -> int:
-    """The position after the bracket that closes the one at pos, or -1."""
-    depth = 0
-    for m in brackets.finditer(text, pos):
-        if m[1]:
-            depth += 1
-        elif m[2]:
-            depth -= 1
-            if not depth:
-                return m.end()
-    return -1
+_ANGLE = re.compile(r"=>|[<>;(\[{)\]}]")
 
 
-def _angles(text: str, pos: int) -> int:
-    """The position after type parameters that begin at pos."""
+def _angles(text: str, pos: int, signs: Signs) -> int:
+    """The position after type parameters that begin at pos; brackets in them are passed whole."""
     depth = 0
-    for k in range(pos, min(len(text), pos + 2000)):
-        c = text[k]
-        if c == "<":
+    while m := _ANGLE.search(text, pos):
+        sign, pos = m[0], m.end()
+        if sign == "<":
             depth += 1
-        elif c == ">" and text[k - 1] != "=":
+        elif sign == ">":
             depth -= 1
             if not depth:
-                return k + 1
-        elif c in ";{":
-            return -1
+                return pos
+        elif sign != "=>":
+            pos = signs.closing(m.start())
+            if pos < 0:
+                return -1
     return -1
 
 
@@ -106,7 +157,7 @@ _AFTER_ARROW = re.compile(r"\s*(?::[^;]*?)?=>\s*")
 _AFTER_JAVA = re.compile(r"\s*(?:\[\s*\]\s*)*(?:throws\s[^;{}]*)?(?:default\s[^;]*)?(\{|;)")
 
 
-def _script_declaration(text: str, pos: int):
+def _script_declaration(text: str, pos: int, signs: Signs):
     """(name, its position, end of signature, end of text) of a declaration that begins at pos."""
     arrow = False
     if m := _FUNCTION.match(text, pos):
@@ -122,109 +173,93 @@ def _script_declaration(text: str, pos: int):
     at = m.end()
     if arrow and not text.startswith(("(", "<", "function"), at):
         at = text.index("=>", at) + 2
-        return (m[1], m.start(1), at, _body_end(text, at))
+        return (m[1], m.start(1), at, _body_end(text, at, signs))
     if arrow and text.startswith("function", at) and not text[at + 8 : at + 9].isalnum():
         at = text.find("(", at)
         method = True
     if text.startswith("<", at):
-        at = _angles(text, at)
+        at = _angles(text, at, signs)
         if at < 0:
             return None
         at = re.compile(r"\s*").match(text, at).end()
     if not text.startswith("(", at):
         return None
-    closed = _closing(text, at, _SCRIPT_BRACKETS)
+    closed = signs.closing(at)
     if closed < 0:
         return None
     if arrow and not method:
         after = _AFTER_ARROW.match(text, closed)
         if not after:
             return None
-        return (m[1], m.start(1), after.end(), _body_end(text, after.end()))
+        return (m[1], m.start(1), after.end(), _body_end(text, after.end(), signs))
     after = _AFTER_HEADER.match(text, closed)
     if not after:
         return None
     if after["end"] == "{":
-        return (m[1], m.start(1), after.end() - 1, _closing(text, after.end() - 1, _SCRIPT_BRACKETS))
+        return (m[1], m.start(1), after.end() - 1, signs.closing(after.end() - 1))
     # without a body: an overload, an abstract method or an interface's; a call has neither type nor modifier
     bodiless = text.startswith(("abstract", "declare", "export", "function", "public", "private", "protected"), pos) or after["type"]
     return (m[1], m.start(1), after.end(), after.end()) if bodiless else None
 
 
-def _body_end(text: str, at: int) -> int:
+def _body_end(text: str, at: int, signs: Signs) -> int:
     """The end of an arrow function's body."""
     at = re.compile(r"\s*").match(text, at).end()
-    if text.startswith("{", at):
-        return _closing(text, at, _SCRIPT_BRACKETS)
-    depth = 0
-    for m in _SCRIPT_BRACKETS.finditer(text, at):
-        if m[1]:
-            depth += 1
-        elif m[2]:
-            depth -= 1
-            if depth < 0:
-                return m.start()
-        elif m[4] and not depth:
-            return m.start()
-    return len(text)
+    return signs.closing(at) if text.startswith("{", at) else signs.end_of_expression(at)
 
 
-def _java_declaration(text: str, pos: int):
+def _java_declaration(text: str, pos: int, signs: Signs):
     if _JAVA_NOT.match(text, pos):
         return None
     m = _JAVA_METHOD.match(text, pos)
     if not m or m[1] in _NOT_METHODS:
         return None
-    closed = _closing(text, m.end(), _JAVA_BRACKETS)
+    closed = signs.closing(m.end())
     if closed < 0:
         return None
     after = _AFTER_JAVA.match(text, closed)
     if not after:
         return None
     if after[1] == "{":
-        return (m[1], m.start(1), after.end() - 1, _closing(text, after.end() - 1, _JAVA_BRACKETS))
+        return (m[1], m.start(1), after.end() - 1, signs.closing(after.end() - 1))
     typed = re.search(r"\s", text[pos : m.start(1)].strip() + " ") and text[pos : m.start(1)].strip()
     return (m[1], m.start(1), after.end(), after.end()) if typed else None
 
 
 def braced_functions(text: str, java: bool) -> Iterator[tuple[str, int, str, str, str]]:
     """(name, position, signature, documentation, text) of every described function."""
-    lexer, brackets = (_JAVA_LEX, _JAVA_BRACKETS) if java else (_SCRIPT_LEX, _SCRIPT_BRACKETS)
+    signs = Signs(text, _JAVA_LEX if java else _SCRIPT_LEX)
     run: tuple[int, int] | None = None  # consecutive line comments
     comments: list[tuple[int, int]] = []
-    for m in lexer.finditer(text):
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        start = m.start()
+    for start, end, line in signs.comments:
         begin = text.rfind("\n", 0, start) + 1
         if text[begin:start].strip():
             run = None
             continue  # behind code
-        if kind == "line":
+        if line:
             if run and not text[run[1] : start].strip() and text.count("\n", run[1], start) == 1:
-                run = (run[0], m.end())
+                run = (run[0], end)
                 comments[-1] = run
             else:
-                run = (start, m.end())
+                run = (start, end)
                 comments.append(run)
         else:
             run = None
-            comments.append((start, m.end()))
+            comments.append((start, end))
     for start, end in comments:
         stop = text.find("\n", end)
         if stop < 0 or text[end:stop].strip():
             continue
         pos = stop + 1
         while d := _DECORATOR.match(text, pos):
-            close = _closing(text, d.end() - 1, brackets) if d[1] else d.end()
+            close = signs.closing(d.end() - 1) if d[1] else d.end()
             if close < 0:
                 break
             pos = close
             gap = re.compile(r"[ \t\r]*\n?").match(text, pos)
             pos = gap.end()
         pos = re.compile(r"[ \t]*").match(text, pos).end()
-        found = (_java_declaration if java else _script_declaration)(text, pos)
+        found = (_java_declaration if java else _script_declaration)(text, pos, signs)
         if found and described(text[start:end], found[0]):
             name, at, signed, close = found
             yield name, at, text[pos:signed].strip(), text[start:end], text[pos : close if close > 0 else len(text)]
@@ -234,6 +269,7 @@ def braced_functions(text: str, java: bool) -> Iterator[tuple[str, int, str, str
 _PY_STRING = r"""[rRbBuUfFtT]{0,2}(?:\"{3}[^\\"]*(?:(?:\\[\s\S]|"(?!""))[^\\"]*)*\"{3}|'{3}[^\\']*(?:(?:\\[\s\S]|'(?!''))[^\\']*)*'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
 _PY_LEX = re.compile(rf"^([ \t]*)((?:async[ \t]+)?def[ \t]+(\w+))|\#[^\n]*|{_PY_STRING}", re.M)
 _PY_BRACKETS = re.compile(rf"{_PY_STRING}|\#[^\n]*|([(\[{{])|([)\]}}])|(:)|(\n)")
+_PY_SIGNS = re.compile(rf"{_PY_STRING}|\#[^\n]*|{_SIGNS}")
 _PY_LITERAL = re.compile(_PY_STRING)
 _PY_END = re.compile(r"[ \t]*(?:\#[^\n]*)?(?:\n|;|$)")
 _QUOTES = re.compile(r"^[rRuU]?(\"{3}|'{3}|\"|')([\s\S]*)\1$")
@@ -249,7 +285,7 @@ def _python_docstring(text: str, pos: int) -> str | None:
     return body[2] if body else None
 
 
-def _python_comment_above(text: str, pos: int) -> str | None:
+def _python_comment_above(text: str, pos: int, signs: Callable[[], Signs]) -> str | None:
     """The comment lines directly above the declaration whose first line begins at pos, its decorators skipped."""
     lines: list[str] = []
     above = pos
@@ -262,7 +298,7 @@ def _python_comment_above(text: str, pos: int) -> str | None:
             break
         elif line.startswith("@"):
             pass
-        elif line[-1:] in ")]}" and (at := _decorator_start(text, start, above - 1)) >= 0:
+        elif line[-1:] in ")]}" and (at := _decorator_start(text, above - 1, signs())) >= 0:
             start = at
         else:
             break
@@ -270,21 +306,14 @@ def _python_comment_above(text: str, pos: int) -> str | None:
     return "\n".join(reversed(lines)) if lines else None
 
 
-def _decorator_start(text: str, start: int, end: int) -> int:
-    """Where a decorator over several lines that ends at `end` begins, or -1."""
-    at = start
-    for _ in range(200):
-        line_start = text.rfind("\n", 0, max(at - 1, 0)) + 1
-        if at == 0 or line_start == at:
-            return -1
-        at = line_start
-        line = text[at:end].lstrip()
-        if line.startswith("@"):
-            closed = _closing(text, text.find("(", at), _PY_BRACKETS)
-            return at if closed >= 0 and text[closed:end].strip() == "" else -1
-        if not line.split("\n", 1)[0].strip():
-            return -1
-    return -1
+def _decorator_start(text: str, end: int, signs: Signs) -> int:
+    """Where the line of a decorator over several lines begins whose last bracket closes before `end`, or -1."""
+    last = len(text[:end].rstrip()) - 1 if text[end - 1 : end].isspace() else end - 1
+    opened = signs.opens.get(last, -1)
+    if opened < 0:
+        return -1
+    begin = text.rfind("\n", 0, opened) + 1
+    return begin if text[begin:opened].lstrip().startswith("@") else -1
 
 
 def _python_end(text: str, pos: int, indent: str) -> int:
@@ -310,6 +339,7 @@ def _python_end(text: str, pos: int, indent: str) -> int:
 
 
 def python_functions(text: str) -> Iterator[tuple[str, int, str, str, str]]:
+    signs = lru_cache(1)(lambda: Signs(text, _PY_SIGNS))
     for m in _PY_LEX.finditer(text):
         if m[3] is None:
             continue
@@ -324,7 +354,7 @@ def python_functions(text: str) -> Iterator[tuple[str, int, str, str, str]]:
                 break
         if colon < 0:
             continue
-        doc = _python_docstring(text, colon) or _python_comment_above(text, m.start())
+        doc = _python_docstring(text, colon) or _python_comment_above(text, m.start(), signs)
         if doc and described(doc, name):
             start = m.start(2)
             yield name, m.start(3), text[start:colon].strip(), doc, text[start : _python_end(text, colon, m[1])]

@@ -124,3 +124,41 @@ def test_frames(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "file_id long, extension string, content string, signature string")
     assert sorted((r["file_id"], r["symbol_name"]) for r in D.described_names(df).collect()) == [(1, "above"), (1, "inner"), (1, "nested"), (7, "A"), (7, "bare"), (7, "run")]
     assert D.documented_functions(df).count() == 6 and D.documented_functions(df.where("false")).count() == 0
+
+
+def _rows(text, language):
+    return {r[0]: r for r in D.functions_of(text, language)}
+
+
+def test_nested_template_literals_keep_the_count_of_braces():
+    text = "// Joins all of the given parts into one line.\nfunction join(a) {\n  return `x${a.map((b) => `}${b ? `{${b}` : '}'}`).join(`,`)}`;\n}\n\n// Splits the given line into all of its parts.\nfunction split(a) {\n  return a;\n}\n"
+    rows = _rows(text, "javascript")
+    assert set(rows) == {"join", "split"} and rows["join"][4].endswith("`;\n}") and rows["split"][4] == "function split(a) {\n  return a;\n}"
+    arrow = "// Makes one long text out of the two parts.\nconst make = (a) => `${`${a}`}` + f({ b: [1, 2] }, `,`);\nconst other = 1;\n"
+    assert _rows(arrow, "javascript")["make"][4].endswith("`,`)")
+
+
+def test_long_type_parameters_and_decorators_are_read_whole():
+    types = ", ".join(f"T{k} extends {{ a{k}: string; f(x: number): Map<string, T0> }}" for k in range(300))
+    text = f"/** Sends every part of the message to its own place. */\nexport function send<{types}>(a: T0): void {{\n}}\n"
+    assert set(_rows(text, "typescript")) == {"send"} and len(types) > 10_000
+    cases = "".join(f"    ({k}, [{k}, {{'a': ({k},)}}]),\n" for k in range(1000))
+    python = f"# Checks that every one of the cases gives its own list.\n@mark.parametrize('a, b', [\n{cases}])\n@other\ndef check(a, b):\n    pass\n"
+    assert set(_rows(python, "python")) == {"check"}
+    java = "class A {\n  // Sends every part of the message to its own place.\n  @A({" + "\n    @B(x = {1, 2}),\n" * 500 + "  })\n  void send() { }\n}\n"
+    assert set(_rows(java, "java")) == {"send"}
+
+
+def test_deeply_nested_functions_take_time_in_proportion():
+    import time
+
+    def nested(n):
+        head = "".join(f"// Opens level number {k} of the whole deep tree.\nfunction level{k}() {{\n" for k in range(n))
+        return head + "}\n" * n
+
+    took = []
+    for n in (500, 4000):
+        text, began = nested(n), time.perf_counter()
+        assert len(_rows(text, "javascript")) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] * 6  # far below the square of 8
