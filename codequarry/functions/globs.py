@@ -35,23 +35,26 @@ def path_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+# fixed values: the globs that stand for a rule of each kind, `{}` being the rule without its slash at either end
+IGNORE_SHAPES = {
+    "directory": ("**/{}/**", "{}/**"),
+    "name": ("**/{}", "**/{}/**"),
+    "rooted": ("{}", "{}/**"),
+    "path": ("{}", "**/{}", "{}/**", "**/{}/**"),
+}
+
+
+def _rule_kind(rule: str) -> str:
+    if rule[-1] == "/":
+        return "directory"
+    return "rooted" if rule[0] == "/" else "path" if "/" in rule else "name"
+
+
 def ignore_globs(lines: Iterable[str]) -> list[str]:
     """The globs of a repository's ignore file. Comments, blank lines and negations are skipped."""
-    out: list[str] = []
-    for line in lines:
-        rule = line.strip()
-        if not rule or rule[0] in "#!":
-            continue
-        if rule.endswith("/"):
-            bare = rule[:-1]
-            out += [f"**/{bare}/**", f"{bare}/**"]
-        elif "/" not in rule:
-            out += [f"**/{rule}", f"**/{rule}/**"]
-        elif rule.startswith("/"):
-            out += [rule[1:], f"{rule[1:]}/**"]
-        else:
-            out += [rule, f"**/{rule}", f"{rule}/**", f"**/{rule}/**"]
-    return out
+    rules = [rule for rule in map(str.strip, lines) if rule and rule[0] not in "#!"]
+    trim = {"directory": lambda r: r[:-1], "rooted": lambda r: r[1:]}
+    return [shape.format(trim.get(kind, str)(rule)) for rule in rules for kind in [_rule_kind(rule)] for shape in IGNORE_SHAPES[kind]]
 
 
 def _any(column: Column, patterns: list[str]) -> Column:

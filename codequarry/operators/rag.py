@@ -26,9 +26,14 @@ def retrieve(chunks: DataFrame, query: list[float], k: int = 10, least: float =
     return min_score(found.withColumn("hits", F.count("*").over(W.partitionBy(F.lit(0)))), least)  # k rows
 
 
+MOST_RESULTS = 1000
+
+
 def ranked(results: DataFrame) -> DataFrame:
-    """`rank` by score, then id, among the few rows of a result."""
-    return results.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))
+    """`rank` by score, then id, among the few rows of a result: they meet in one task, so more than `MOST_RESULTS` are an error."""
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))
+    too_many = F.raise_error(F.lit(f"a result of more than {MOST_RESULTS} rows can't be ranked as a whole")).cast("int")
+    return results.withColumn("rank", rank).withColumn("rank", F.when(F.col("rank") > MOST_RESULTS, too_many).otherwise(F.col("rank")))
 
 
 def excerpt():

@@ -7,6 +7,7 @@ their ends by counting braces. It covers declarations at any depth; it does not
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from codequarry.parsers.base import Parser, Symbol, first_seen
 
@@ -57,6 +58,14 @@ class _Braced(Parser):
     def _open(self, text: str) -> None:
         self.text, self.code = text, blanked(text)
         self.ends = partners(self.code)
+        self.opened = sorted(s for s in self.ends if self.code[s] in "{(")
+        # the bracket around each bracket, -1 at the top
+        self.around, stack = {}, []
+        for s in self.opened:
+            while stack and self.ends[stack[-1]] < s:
+                stack.pop()
+            self.around[s] = stack[-1] if stack else -1
+            stack.append(s)
 
     def _line(self, at: int) -> int:
         return self.text.count("\n", 0, at) + 1
@@ -71,8 +80,10 @@ class _Braced(Parser):
 
     def _member_of(self, classes: list[tuple[int, int, str]], at: int) -> str | None:
         """The class whose body directly holds the position."""
-        opened = [s for s, e in self.ends.items() if self.code[s] in "{(" and s < at <= e]
-        innermost = max(opened, default=-1)
+        k = bisect_left(self.opened, at) - 1
+        innermost = self.opened[k] if k >= 0 else -1
+        while innermost >= 0 and self.ends[innermost] < at:
+            innermost = self.around[innermost]
         return next((n for s, _, n in classes if s == innermost), None)
 
 

@@ -346,6 +346,14 @@ SELECT query, neighbour, rank::INT AS rank, score FROM (SELECT *, row_number() O
         "delete_repo": f"WITH {_CHUNKS}, {_LARGEST} SELECT id, repo FROM chunks WHERE repo IS DISTINCT FROM (SELECT repo FROM big)",
         "reindex_repo": f"WITH {_CHUNKS}, {_LARGEST} SELECT id, repo, md5(CASE WHEN repo = (SELECT repo FROM big) THEN upper(text) ELSE text END) AS digest FROM chunks",
         "incremental_files": f"WITH {_FILES}, d AS (SELECT *, sha256(coalesce(content, '')) AS digest FROM files) SELECT file_id, digest FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.scanned_at < k.committed_at + INTERVAL 14 DAY AND k.repo = d.repo AND k.relative_path = d.relative_path AND k.digest = d.digest)",
+        "search_code": f"""WITH {_CHUNKS}, t AS (SELECT id, unnest(regexp_split_to_array(lower(left(text, 2048)), '[^a-z0-9]+')) AS w FROM chunks UNION ALL SELECT NULL, unnest(regexp_split_to_array(lower('{QUESTION}'), '[^a-z0-9]+'))),
+h AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT AS h FROM t WHERE w <> ''),
+s AS (SELECT id, h % 64 AS bucket, sum(CASE WHEN (h >> 31) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1),
+v AS (SELECT s.id, bucket, (x / norm)::FLOAT::DOUBLE AS v FROM s JOIN n USING (id) WHERE id IS NOT NULL AND norm > 0),
+q AS (SELECT s.bucket, x / norm AS v FROM s, n WHERE s.id IS NULL AND n.id IS NULL),
+r AS (SELECT v.id, (1 + sum(v.v * coalesce(q.v, 0)) / sqrt(sum(v.v * v.v))) / 2 AS score FROM v LEFT JOIN q USING (bucket) GROUP BY v.id HAVING sum(v.v * v.v) > 0)
+SELECT id, round(score, 6) AS score, repo, path, start_line, end_line FROM r JOIN chunks USING (id) ORDER BY r.score DESC, id LIMIT 10""",
         "sources_projection": f"WITH {_CHUNKS}, s AS (SELECT repo, path, start_line::VARCHAR || '-' || end_line::VARCHAR AS lines, symbol_name AS symbol, round(end_line / (end_line + start_line), 6) AS score FROM chunks) SELECT *, round(score * 100)::INT AS percent, printf('%.3f', score + 1e-9) AS shown, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM s",
         "rag_prompt": f"""WITH {_RESULTS}, parts AS (SELECT rank, '### [' || rank || '] ' || repo || '/' || path || ':' || start_line || '-' || end_line || chr(10) || concat_ws(' | ', 'Language: ' || language, 'Symbol: ' || symbol_name, 'Relevance: ' || round(score * 100)::INT || '%') || chr(10) || '```' || coalesce(language, '') || chr(10) || text || chr(10) || '```' AS part FROM results WHERE score >= 0.5),
 p AS (SELECT CASE WHEN count(*) > 0 THEN '{rag.INTRODUCTION}' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) ELSE '{rag.NOTHING_FOUND}' END || chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt FROM parts)
