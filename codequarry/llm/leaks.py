@@ -203,9 +203,14 @@ def leaks_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, floa
         n = place // STRIDE - back
         inside = (n >= 0) & (place + TERM <= n * STRIDE + PASSAGE)
         passages.append(np.stack([row[inside], n[inside], terms[inside]]))
-    queries = np.unique(np.concatenate(passages, axis=1), axis=1)
+    queries = np.concatenate(passages, axis=1)
+    # the sum of the terms' greatest weights bounds every score of a passage; terms that come twice only raise it
+    _, passage = np.unique(queries[0] * (int(place.max()) + 1) + queries[1], return_inverse=True)
+    queries = queries[:, np.bincount(passage, index.bounds[queries[2]])[passage] >= index.least]
+    if not queries.shape[1]:
+        return
+    queries = np.unique(queries, axis=1)
     first = np.flatnonzero(np.append(True, (queries[:2, 1:] != queries[:2, :-1]).any(axis=0)))
-    # the sum of the terms' greatest weights bounds every score of a passage
     bounds = np.add.reduceat(index.bounds[queries[2]], first)
     found: dict[int, set[int]] = {}
     ends = np.append(first[1:], queries.shape[1])
