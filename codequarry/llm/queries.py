@@ -127,9 +127,22 @@ h AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: arr
 found AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))"""
 
 
+# classes of copies by all letters and digits and by the set of runs, and pairs of classes by the runs they share
+_CLASSES = """c AS (SELECT id, max(text) AS text FROM code_chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+w AS (SELECT id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS canon, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM c),
+t AS (SELECT id, canon, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS runs FROM w WHERE len(w) >= 30),
+k AS (SELECT canon, runs, min(id) AS class_id FROM t GROUP BY canon, runs), m AS (SELECT id, class_id FROM t JOIN k USING (canon, runs)),
+e AS (SELECT class_id, canon, len(runs) AS n, unnest(runs) AS r FROM k),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM e a JOIN e b ON a.r = b.r AND a.class_id < b.class_id AND a.n <= b.n / 0.7 AND b.n <= a.n / 0.7 AND a.canon <> b.canon
+  GROUP BY a.class_id, b.class_id HAVING count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of these operators SQL expresses the leaks; the others are tested against brute force."""
+    """Of these operators SQL expresses the near-duplicate pairs and the leaks; the others are tested against brute force."""
     return {
+        "p5_found": f"WITH {_CLASSES} SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM p JOIN m x ON x.class_id = a JOIN m y ON y.class_id = b",
+        "p5_classes": f"WITH {_CLASSES} SELECT id, class_id FROM m",
+        "p5_class_pairs": f"WITH {_CLASSES} SELECT a AS class_a, b AS class_b FROM p",
         "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM found",
         "p8_report": f"WITH {_RUNS} SELECT item_id, any_value(item_set) AS item_set, count(DISTINCT doc_id) AS documents FROM found JOIN eval_items USING (item_id) GROUP BY item_id",
     }
