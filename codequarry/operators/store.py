@@ -63,6 +63,13 @@ class ChunkStore:
         fs, path = self._fs()
         return bool(fs.exists(path))
 
+    def ping(self) -> bool:
+        """Whether the table is there and can be read."""
+        try:
+            return self.exists() and self.read().limit(1).count() >= 0
+        except Exception:
+            return False
+
     def create(self, force: bool = False) -> bool:
         """True if the table was made anew."""
         if self.exists() and not force:

@@ -94,6 +94,10 @@ class Engine:
         except Exception as e:
             return {"status": "degraded", "error": str(e)}
 
+    def close(self) -> None:
+        """Lets go of what the provider holds; the session belongs to the caller."""
+        self.provider.dispose()
+
     # the same as tool calls that answer with text; top_k is cut to 50 instead of refused
     def tool(self, name: str, arguments: dict) -> dict:
         try:

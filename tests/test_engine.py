@@ -67,8 +67,9 @@ def test_store_lifecycle(spark, indexed, tmp_path):
     store.upsert(rows.where("repo = 'repo2'").withColumn("text", F.lit("new")))
     assert {r["text"] for r in store.read().where("repo = 'repo2'").collect()} == {"new"} and store.read().count() == 4
     assert store.delete_repo("repo1") == 2 and store.delete_repo("none") == 0 and store.read().count() == 2
+    assert store.ping()
     store.drop()
-    assert not store.exists()
+    assert not store.exists() and not store.ping()
 
 
 def test_engine_calls(indexed):
