@@ -170,7 +170,8 @@ def vocabulary_pairs(path: str) -> dict[str, int]:
             except UnicodeDecodeError:
                 continue
             found.update({_key(text[k : k + 2]) for k in range(len(text) - 1) if not text[k : k + 2].isascii()})
-    return dict(found)
+    # signs counted by their block would make any one of them a word
+    return {pair: n for pair, n in found.items() if not (" " in pair and max(pair) >= "\u2e80")}
 
 
 class Cost:
