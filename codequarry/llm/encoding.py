@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.session import spread
+from codequarry.session import cut, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -412,9 +412,10 @@ def signs_of(text: str) -> set[str]:
 
 # --- the corpus ---------------------------------------------------------------------------------------------------------
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (pair, n): in how many texts of the batch each pair (or three) of `signs_of` stands."""
+    """(text) to (pair, n): in how many texts of the batch each pair (or three) of `signs_of` stands; the texts themselves are
+    counted under the empty pair."""
     for batch in batches:
-        found: Counter = Counter()
+        found: Counter = Counter({"": batch.num_rows})
         for text in batch.column(0).to_pylist():
             found.update(signs_of(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pair", "n"])
@@ -441,11 +442,11 @@ def _judge(state) -> Callable:
 
 
 def _state(documents: DataFrame, vocabulary: str | None):
-    """What a worker needs to build the cost, broadcast."""
+    """What a worker needs to build the cost, broadcast: the pairs that are frequent enough to matter, and the number of documents."""
     docs = spread(_own(documents)).select("text")
-    counts = docs.mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    total = docs.count()
-    kept = {r["pair"]: r["n"] for r in counts.where(F.col("n") * 2**16 > total + SMOOTH).collect()}
+    counts = cut(docs.mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    total = counts.where("pair = ''").agg(F.sum("n")).first()[0] or 0
+    kept = {r["pair"]: r["n"] for r in counts.where("pair <> ''").where(F.col("n") * 2**16 > total + SMOOTH).collect()}
     return documents.sparkSession.sparkContext.broadcast((kept, total, vocabulary))
 
 
